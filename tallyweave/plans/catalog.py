@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import quantities
+from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = (quantities,)
+from . import metrics, pages, quantities, structure
+
+_MODULES = (quantities, structure, metrics, pages)
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
 
 
-def flagship(spark, sf_dir):
-    return QUERIES["p1_found"](spark, sf_dir)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best chunks of every rule: scan, match form, scoring, top-k."""
+    return QUERIES["retrieve_topk"](spark, sf_dir)
