@@ -92,10 +92,10 @@ def page_range(pages: str | None) -> tuple[int, int] | None:
     """(first, last) of "5-12" or "7", in either order; anything else is an error."""
     if not pages:
         return None
-    first, _, last = str(pages).strip().partition("-")
-    if not first.strip().isdigit() or (last and not last.strip().isdigit()):
+    parts = [p.strip() for p in str(pages).split("-")]
+    if len(parts) > 2 or not all(p.isdigit() for p in parts):
         raise ValueError(f"bad page range {pages!r}: use e.g. 5-12 or 7")
-    a, b = int(first), int(last or first)
+    a, b = int(parts[0]), int(parts[-1])
     return min(a, b), max(a, b)
 
 

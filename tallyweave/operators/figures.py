@@ -46,7 +46,7 @@ def replaced(text: Column, outcomes: Column) -> Column:
     """Text with each reference of ``outcomes`` (array of ref, status, text) replaced: ok by its text, empty by nothing, others kept."""
 
     def one(acc: Column, o: Column) -> Column:
-        mark = F.concat(F.lit("!["), F.regexp_extract(F.substring_index(acc, F.concat(F.lit("]("), o["ref"], F.lit(")")), 1), r"!\[([^\]\[]*)$", 1), F.lit("]("), o["ref"], F.lit(")"))
+        mark = F.concat(F.lit("!["), F.regexp_extract(F.call_function("substring_index", acc, F.concat(F.lit("]("), o["ref"], F.lit(")")), F.lit(1)), r"!\[([^\]\[]*)$", 1), F.lit("]("), o["ref"], F.lit(")"))
         new = F.when(o["status"] == "ok", F.concat(F.lit("\n\n"), o["text"], F.lit("\n\n"))).when(o["status"] == "empty", F.lit("")).otherwise(mark)
         return F.when(acc.contains(mark), F.replace(acc, mark, new)).otherwise(acc)
 

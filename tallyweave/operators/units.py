@@ -214,7 +214,7 @@ def number(text: str, comma_decimal: bool = False) -> float:
 
 
 def split_value(value: str | None, comma_decimal: bool = False) -> tuple[float, str] | None:
-    """(number with sign, what is written around it) of a value, None if it holds no number."""
+    """(number with sign, what is written around it) of a value, None if it holds no number, or one beyond all bounds."""
     s = _norm(value)
     if s in ABSENT:
         return None
@@ -227,6 +227,8 @@ def split_value(value: str | None, comma_decimal: bool = False) -> tuple[float,
         before, after = before.replace("(", "", 1), after.replace(")", "", 1)
     before = re.sub(r"[-−–﹣+]", "", before)
     magnitude = number(m.group(0), comma_decimal)
+    if not math.isfinite(magnitude):
+        return None
     return (-magnitude if negative else magnitude), f"{before.strip()} {after.strip()}".strip()
 
 
@@ -356,7 +358,7 @@ def same_quantities(read: DataFrame, tolerance: float = 0.005) -> DataFrame:
     Quantities are compared by bucket and once per distinct (quantity, factor),
     so neither a hot key nor many equal rows are paired with each other.
     """
-    known = read.where(F.col("quantity").isNotNull() & F.col("doc_id").isNotNull() & F.col("id").isNotNull() & ((F.col("kind") != "amount") | F.col("currency").isNotNull()))
+    known = read.where((F.abs("quantity") < 1e300) & F.col("doc_id").isNotNull() & F.col("id").isNotNull() & ((F.col("kind") != "amount") | F.col("currency").isNotNull()))
     known = known.select("result_id", "doc_id", "id", "kind", F.coalesce("currency", F.lit("")).alias("currency"), "quantity", "factor")
     bucket = F.when(F.col("quantity") == 0, F.lit(-1_000_000)).otherwise(F.floor(F.log(F.abs("quantity")) / _WIDTH))
     key = ["doc_id", "id", "kind", "currency"]
