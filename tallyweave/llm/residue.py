@@ -20,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .languages import SAMPLES
+
 #: Buckets of hashed n-grams: the size of a model, whatever the corpus.
 BUCKETS = 1 << 18
 #: Lengths of the n-grams of characters and of shapes.
 GRAM, SHAPE_GRAM = 4, 3
+#: Times that general prose counts beside the corpus; it matters for small corpora only.
+PRIOR = 5.0
 
 # Seeds of the models, one passage a line.
 FILLER = """
@@ -182,7 +186,8 @@ class Models:
     """Log-likelihood ratios of the n-grams of residue against natural prose."""
 
     def __init__(self, prose: np.ndarray, shapes: np.ndarray) -> None:
-        self.notice = self._ratio(_seed_counts(NOTICES + FILLER + WORDED, letters, GRAM), prose)
+        general = PRIOR * _seed_counts("\n".join(SAMPLES.values()), letters, GRAM)
+        self.notice = self._ratio(_seed_counts(NOTICES + FILLER + WORDED, letters, GRAM), prose + general)
         self.blank = self._ratio(_seed_counts(PLACEHOLDERS, lambda s: shape(s)[0], SHAPE_GRAM), shapes)
 
     @staticmethod
@@ -243,13 +248,16 @@ def residue_of(text: str | None, models: Models) -> list[tuple[int, int, str]]:
             found.append((m.start(), m.end(), "placeholder"))
     for begin, end, _ in notices:
         a = text.rfind("\n", 0, begin) + 1
-        b = text.find("\n", end - 1)
-        b = len(text) if b < 0 else b
-        for c, d in [(a, b), *_sentences(text, a, b, begin, end)]:
-            kind = kind_of(text[c:d], scores[c : max(c, d - GRAM + 1)])
-            if kind:
-                found.append((c, d, kind))
-                break
+        while a < end:  # every line that the window meets
+            b = text.find("\n", a)
+            b = len(text) if b < 0 else b
+            if min(b, end) - max(a, begin) >= GRAM:
+                for c, d in [(a, b), *_sentences(text, a, b, begin, end)]:
+                    kind = kind_of(text[c:d], scores[c : max(c, d - GRAM + 1)])
+                    if kind:
+                        found.append((c, d, kind))
+                        break
+            a = b + 1
     return sorted(set(found))
 
 
