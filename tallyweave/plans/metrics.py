@@ -9,7 +9,7 @@ from ..functions.numbers import parse_number
 from ..functions.text import absent, parse_list, safe_file_name, safe_sheet_base, search_window, value_with_unit
 from ..operators import chunks as C
 from ..operators import extraction, outline, results, retrieval, routing, rules
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from . import sql
 
 QUERIES: dict = {}
@@ -48,7 +48,7 @@ _SCORED = f"""WITH c AS (SELECT chunk_key, doc_id, chunk_id, profile, {sql.match
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.scored(table(spark, d, "chunks"), rules.enabled_rules(table(spark, d, "rules")), ["profile"])
+    return retrieval.scored(dealt(table(spark, d, "chunks").select("doc_id", "chunk_key", "chunk_id", "profile", "section_path", "text"), "doc_id"), rules.enabled_rules(table(spark, d, "rules")), ["profile"])
 
 
 @query(f"{_SCORED} SELECT * FROM scored WHERE score > 0")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import SLICE_ANY, SLICE_LINE, lines_of
 from ..operators import chunks as C
 from ..operators import figures, grids, headings, outline
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from . import sql
 
 QUERIES: dict = {}
@@ -26,7 +26,7 @@ def query(oracle: str | None = None):
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 @query(f"SELECT doc_id, line_no::INT AS line_no, raw FROM ({sql.lines()})")
