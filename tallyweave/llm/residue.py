@@ -64,6 +64,7 @@ An unexpected fault occurred while rendering this document. Oops! Something went
 Sorry, the page you requested could not be found. Page not found. This page does not exist. Check the address or return to the home page.
 Your session has expired, please sign in again. Access denied. You do not have permission to view this report. You have reached the download limit for today.
 The connection was reset while the file was being fetched. This filing has been removed or is temporarily unavailable. We are performing scheduled maintenance.
+The upstream document store did not answer. Unable to load the document viewer. The request timed out. This link has expired. Please try again later. The service is not available.
 You will be redirected in 5 seconds. If the problem persists contact the administrator and quote. Go back | Home. Reload | Help. Reference: Request id node
 Loading... Loading document, please wait. If nothing happens, allow scripts for this site.
 Please enable JavaScript to view this page. JavaScript is disabled. The annual report cannot be displayed. This viewer requires JavaScript. Enable it and reload the page.
@@ -74,12 +75,13 @@ Checking your browser... enable cookies and scripts to continue. <noscript>Scrip
 当前访问人数过多，请排队等候。今日下载次数已达上限。系统维护中。请检查网址是否正确，或返回首页。返回上一页。页面将在 5 秒后自动跳转。如有疑问请联系管理员，错误编号。请求标识：
 本页面需要 JavaScript 支持，请启用后重新加载。您的浏览器未启用脚本，请开启 JavaScript 后查看本报告。请在浏览器设置中打开脚本功能，否则公告全文无法显示。
 检测到 JS 被禁用，部分内容不可见，请解除限制。为确认您不是机器人，请启用脚本与 Cookie 后继续。<noscript>请启用脚本以浏览报告正文</noscript> 正在加载…
-Seite nicht gefunden. Die angeforderte Seite wurde nicht gefunden. Zugriff verweigert. Ihre Sitzung ist abgelaufen. Zurück zur Startseite. Kennung. Interner Serverfehler. Dienst nicht verfügbar.
+请求超时。链接已失效。文件不存在。刷新 关闭 联系客服 请登录后查看。文档服务没有响应。
+Zugriff auf diesen Bericht verweigert. Bitte versuchen Sie es später erneut. Die Seite existiert nicht. Seite nicht gefunden. Die angeforderte Seite wurde nicht gefunden. Zugriff verweigert. Ihre Sitzung ist abgelaufen. Zurück zur Startseite. Kennung. Interner Serverfehler. Dienst nicht verfügbar.
 Bitte aktivieren Sie JavaScript, um den Bericht anzuzeigen. JavaScript ist deaktiviert.
-Page introuvable. La page demandée est introuvable. Accès refusé. Votre session a expiré. Retour à l'accueil. Erreur interne du serveur. Référence. Service indisponible.
+Accès refusé à ce rapport. Revenez à l'accueil. Réessayez plus tard. Cette page n'existe pas. Page introuvable. La page demandée est introuvable. Accès refusé. Votre session a expiré. Retour à l'accueil. Erreur interne du serveur. Référence. Service indisponible.
 Veuillez activer JavaScript pour afficher ce rapport. JavaScript est désactivé.
-Página no encontrada. Acceso denegado. Su sesión ha caducado. Vuelva al inicio. Error interno del servidor. Servicio no disponible. Active JavaScript para ver el informe. Habilite JavaScript.
-ページが見つかりません。アクセスが拒否されました。セッションの有効期限が切れました。トップページに戻る。サーバーエラーが発生しました。報告書を表示するには JavaScript を有効にしてください。
+No tiene permiso para ver este informe. Acceso denegado a este informe. Referencia. La página solicitada no existe. Inténtelo de nuevo más tarde. Página no encontrada. Acceso denegado. Su sesión ha caducado. Vuelva al inicio. Error interno del servidor. Servicio no disponible. Active JavaScript para ver el informe. Habilite JavaScript.
+ページが見つかりません。この報告書へのアクセス権がありません。参照番号 トップページへ戻る。しばらくしてからもう一度お試しください。ただいまメンテナンス中です。アクセスが拒否されました。セッションの有効期限が切れました。トップページに戻る。サーバーエラーが発生しました。報告書を表示するには JavaScript を有効にしてください。
 """
 PLACEHOLDERS = """
 {{company_name}} {{ report_date | default }} {{period}} ${unit} ${net_profit} <<PERIOD>> <<total_assets>> «auditor» «company_name» [[RATIO_1]] [[CHAIRMAN]] {% segment %} {% company_name %}
@@ -99,7 +101,7 @@ WORDED = """
 _NAME = r"[A-Za-z][\w.]*(?:\s*\|\s*\w+)?"
 _PLACEHOLDER = re.compile(
     rf"\{{\{{\s*[^\W\d][\w.]*(?:\s*\|\s*\w+)?\s*\}}\}}|\$\{{\s*\w+\s*\}}|<<\s*\w[\w ]*\s*>>|«\s*[A-Za-z]\w*\s*»|\[\[\s*[A-Z][A-Z0-9_]*\s*\]\]|\{{%\s*{_NAME}\s*%\}}"
-    r"|(?<![\w%])%[A-Z][A-Z0-9_]*%(?!\w)|%\([a-z]\w*\)[sdf]|@@\s*\w+\s*@@|(?<!\w)__[A-Z][A-Z0-9_]*?__(?!\w)"
+    r"|(?<![A-Za-z0-9%])%[A-Z][A-Z0-9_]*%(?![A-Za-z0-9])|%\([a-z]\w*\)[sdf]|@@\s*\w+\s*@@|(?<![A-Za-z0-9_])__[A-Z][A-Z0-9_]*?__(?![A-Za-z0-9_])"
     r"|\{(?:\d{1,2}|[A-Za-z][A-Za-z_]*|[一-鿿]{1,8})\}"
     r"|[\[［【〔（(]\s*(?:insert|enter|please (?:insert|enter|complete|fill)|to be (?:completed|confirmed|determined|filled))\b[^\]］】〕）)\n]{0,40}[\]］】〕）)]"
     r"|[\[［【〔(（][A-Za-z0-9 _/-]{0,40}\b(?:TBC|TBD|TBA)[\]］】〕)）]"
@@ -118,7 +120,7 @@ _NOSCRIPT = re.compile(r"<noscript\b|</noscript>", re.I)
 _NOTICE_WORDS = re.compile(
     r"javascript|\bjs\b|\bscripts?\b|scripting|cookies?|脚本|浏览器|刷新|重新加载|重新登录|重试|返回(?:首页|上一页)|页面|网址|跳转|服务器|系统繁忙|请稍后|访问被|无法访问|已下线|不存在|加载|排队|机器人"
     r"|\bpage\b.*\b(?:found|requested|exist)|home page|redirected|session|sign in|access denied|permission|went wrong|try again|maintenance|unavailable|download limit|connection was|unexpected (?:fault|error)"
-    r"|loading|gefunden|startseite|sitzung|verweigert|introuvable|accueil|expiré|refusé|encontrad|inicio|caducado|denegado|見つかりません|有効にして|トップページ|エラー|セッション"
+    r"|loading|gefunden|startseite|sitzung|verweigert|introuvable|accueil|expiré|refusé|permiso|encontrad|no existe|inténtelo|referencia|référence|réessayez|n'existe|später erneut|kennung|did not answer|timed out|unable to load|administrator|not available|has expired|encontrad|inicio|caducado|denegado|参照番号|ありません|戻る|お試しください|メンテナンス|请求|标识|失效|超时|没有响应|登录|联系|見つかりません|有効にして|トップページ|エラー|セッション"
     r"|error|gateway|forbidden|request id|go back|reload",
     re.I,
 )

@@ -203,7 +203,15 @@ def test_markup_of_odd_tables(spark):
     frame = spark.createDataFrame(rows, "chunk_key bigint, doc_id bigint, chunk_id string, text string, section_path array<string>").withColumn("markup", F.lit("clash"))
     assert sorted(tuple(r) for r in markup.residue(frame).collect()) == [(3, "html"), (3, "markdown")]
     assert markup.convert_markup(frame).count() == 4 and markup.convert_markup(frame.limit(0)).count() == 0
-    assert markup.clean_reports(frame.where("chunk_key < 3")).count() == 2
+    assert markup.clean_reports(frame).count() == 4
+
+
+def test_clean_reports(spark):
+    line = "This page is provided by the portal of the exchange and may not be copied further."
+    rows = [(i, 1, f"chunk_{i:04d}", f"{line}\n**unique** {i}", None) for i in (1, 2, 3, 4)] + [(9, 1, "chunk_0004", f"{line}\n**unique** 4", ["*x*"])]
+    frame = spark.createDataFrame(rows, "chunk_key bigint, doc_id bigint, chunk_id string, text string, section_path array<string>")
+    got = {r.chunk_key: r.text for r in markup.clean_reports(frame).collect()}
+    assert got == {1: f"{line}\nunique 1", 2: "unique 2", 3: "unique 3", 4: "unique 4", 9: "unique 4"}
 
 
 # --- problem 6 --------------------------------------------------------------------------------------------------
