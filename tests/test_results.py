@@ -87,7 +87,7 @@ def test_announcements(spark):
 
 
 def word(x0, y0, text, x1=None, h=8):
-    return layout.Word(float(x0), float(y0), float(x1 if x1 is not None else x0 + 5 * len(text)), float(y0 + h), text)
+    return layout.make_word(float(x0), float(y0), float(x1 if x1 is not None else x0 + 5 * len(text)), float(y0 + h), text)
 
 
 def table_page(top=0):
@@ -127,6 +127,8 @@ def test_group_rules_cover_columns():
 def test_rebuilding_over_pages(spark):
     rows = [(d, p, i, w.x0, w.y0, w.x1, w.y1, w.text) for d in (1, 2) for p in (1, 2) for i, w in enumerate(table_page())]
     frame = spark.createDataFrame(rows, "doc_id bigint, page int, word_no int, x0 double, y0 double, x1 double, y1 double, text string")
+    rules = spark.createDataFrame([(1, 1, -4.0, 150.0, 285.0)], "doc_id bigint, page int, y double, x0 double, x1 double")
+    assert layout.rebuild_tables(frame, rules).count() == 4
     assert layout.rebuild_tables(frame).count() == 4 and layout.rebuild_tables(frame, dominant=True).count() == 4
 
 
