@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import dealt
+from ..sources.tables import table as lying
 from . import languages, lookalikes, markup, packing, pieces, residue, scans, tokens
 
+#: Tables that grow, with the column by which small inputs are dealt to the cores.
+GROWING = {"chunks": "chunk_key", "documents": "doc_id", "outline_nodes": "node_key"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    read = lying(spark, sf_dir, name)
+    return dealt(read, GROWING[name]) if name in GROWING else read
+
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "profiles"))
