@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import align, layout
+from ..operators import align, layout, panels
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -166,3 +166,25 @@ def align_blocks(spark, d):
     chunks = table(spark, d, "chunks").where(F.col("text").isNotNull())
     anchors = chunks.select("doc_id", F.lit(1).alias("section_no"), F.coalesce("page_start", F.lit(1)).alias("page"), F.col("text").startswith("|").alias("table"), word_form(F.substring("text", 1, 200)).alias("norm"), F.col("chunk_key").cast("double").alias("yf0"), (F.col("chunk_key") + 1).cast("double").alias("yf1"))
     return align.align_blocks(blocks, anchors)
+
+
+@query(
+    f"""WITH {_WORDS}, bands AS (SELECT doc_id, min(y0) AS top, max(y1) AS bottom FROM words WHERE word_no >= 8 GROUP BY doc_id)
+    SELECT w.doc_id, word_no FROM words w LEFT JOIN bands b ON w.doc_id = b.doc_id AND (w.y0 + w.y1) / 2 BETWEEN top AND bottom WHERE b.doc_id IS NULL"""
+)
+def outside_bands(spark, d):
+    """Words above the band of the second line and those below it."""
+    w = words(spark, d)
+    bands = w.where(F.col("word_no") >= 8).groupBy("doc_id").agg(F.min("y0").alias("top"), F.max("y1").alias("bottom"))
+    return panels.outside_bands(w, bands, ["doc_id"]).select("doc_id", "word_no")
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, word_no FROM words WHERE (y0 + y1) / 2 BETWEEN 40 AND 90")
+def clipped_words(spark, d):
+    return panels.inside(words(spark, d), 40.0, 90.0).select("doc_id", "word_no")
+
+
+@query()
+def alignment_coverage(spark, d):
+    """How many blocks the alignment placed."""
+    return panels.coverage(align_blocks(spark, d))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SLICE_ANY, SLICE_LINE, lines_of
 from ..operators import chunks as C
-from ..operators import figures, grids, headings, outline
+from ..operators import figures, grids, headings, outline, panels
 from ..sources.tables import dealt, table
 from . import sql
 
@@ -338,3 +338,27 @@ def merged_slices(spark, d):
     parts = table(spark, d, "chunks").where(F.col("page_start").isNotNull() & F.col("page_end").isNotNull() & F.col("text").isNotNull())
     part = F.concat(F.format_string("# --- PDF 物理切片：第 %d - %d 页 ---\n\n", "page_start", "page_end"), F.col("text"))
     return parts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_start", "chunk_key", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("text"))
+
+
+@query(
+    f"""SELECT doc_id, line_no::INT AS line_no, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_
+    FROM (SELECT *, length(regexp_replace(raw, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) AS n FROM ({sql.lines()}))"""
+)
+def line_offsets(spark, d):
+    lines = panels.line_offsets(grids.numbered_lines(documents(spark, d)), ["doc_id"], "line_no", "raw")
+    return lines.select("doc_id", "line_no", F.col("offset").cast("bigint").alias("offset_"))
+
+
+@query(
+    f"""WITH l AS (SELECT *, {sql.strip('raw')} AS bare FROM ({sql.lines()})), n AS (SELECT *, lag(bare) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev FROM l)
+    SELECT doc_id, string_agg(CASE WHEN prev IS NOT NULL AND starts_with(bare, '|') <> starts_with(prev, '|') AND bare <> '' AND prev <> '' THEN chr(10) || raw ELSE raw END, chr(10) ORDER BY line_no) AS text FROM n GROUP BY doc_id"""
+)
+def spaced_tables(spark, d):
+    """Texts with empty lines around their pipe tables."""
+    return documents(spark, d).where(F.coalesce("text", F.lit("")) != "").select("doc_id", panels.spaced_tables(F.col("text")).alias("text"))
+
+
+@query(r"""SELECT chunk_key, regexp_replace(text, '<td>(\s*[-(（]?[\d,，.]+[%)）]?\s*)</td>', '<td class="num">\1</td>', 'g') AS html FROM chunks WHERE contains(text, '<td>')""")
+def numeric_cells(spark, d):
+    held = table(spark, d, "chunks").where(F.col("text").contains("<td>"))
+    return held.select("chunk_key", panels.numeric_cells(F.col("text")).alias("html"))

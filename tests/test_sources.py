@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.__main__ import main
-from tallyweave.operators import pipeline
+from tallyweave.operators import panels, pipeline
 from tallyweave.operators.extraction import first_number_near_name
 from tallyweave.operators.outline import blocks, slice_sections
 from tallyweave.operators.rules import typed_rules
@@ -137,3 +137,23 @@ def test_results_by_entity(spark, tmp_path):
 
 def test_command_line(capsys):
     assert main(["list"]) == 0 and "retrieve_topk" in capsys.readouterr().out
+
+
+def test_figures_are_archived(spark):
+    documents = spark.createDataFrame([(1, "before ![x](p/1.png) and ![y](2.png) and ![x](p/1.png)"), (2, "none"), (3, None)], "doc_id bigint, text string")
+    index = spark.createDataFrame([(1, "late/1.png"), (0, "root/1.png")], "root_no int, path string")
+    done, outcomes = panels.archived_images(documents, index, lambda refs: engines.describe(refs, lambda path, context: f"[{path}: {context}]"))
+    assert {r.doc_id: r.text for r in done.collect()} == {1: "before \n\n[root/1.png: before ![x](]\n\n and ![y](2.png) and \n\n[root/1.png: before ![x](]\n\n", 2: "none", 3: None}
+    assert sorted((r.ref, r.status) for r in outcomes.collect()) == [("2.png", "missing"), ("p/1.png", "ok")]
+
+
+def test_inferred_rules(spark):
+    reply = '```json\n[{"id": "A", "name": "n", "name_in_material": "m", "aliases": ["x"], "group": "g"}, {"id": "A", "name": "o"}, {"name": "p"}, {"id": "B", "name": " "}]\n```'
+    got = panels.inferred_rules(spark.createDataFrame([("p", reply), ("q", "nonsense"), ("r", None)], "profile string, reply string"))
+    assert [(r.id, r.name, list(r.aliases), r.rule_group) for r in got.orderBy("rule_key").collect()] == [("A", "n", ["m", "x"], "g"), ("A_2", "o", [], None), ("M03", "p", [], None)]
+
+
+def test_anchors_of_sections(spark):
+    anchors = spark.createDataFrame([(1, 2), (1, 9)], "doc_id bigint, page int")
+    sections = spark.createDataFrame([(1, 1, 1, 3), (1, 2, 4, 6)], "doc_id bigint, section_no int, page_start int, page_end int")
+    assert [(r.page, r.section_no) for r in panels.anchors_of_sections(anchors, sections).collect()] == [(2, 1)]
