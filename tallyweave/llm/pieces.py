@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,13 +60,15 @@ class _Tree:
     def __init__(self, text: str) -> None:
         self.text = text
         self.lines = _line_levels(text)
+        self.starts = [at for at, _ in self.lines]
 
     def _inside(self, pattern: re.Pattern, begin: int, end: int) -> list[int]:
         return [m.end() for m in pattern.finditer(self.text, begin, end)]
 
     def children(self, begin: int, end: int, level: int) -> list[tuple[int, int]]:
         if level <= 8:
-            cuts = [at for at, kind in self.lines if kind <= level and begin < at < end]
+            within = self.lines[bisect_right(self.starts, begin) : bisect_left(self.starts, end)]
+            cuts = [at for at, kind in within if kind <= level]
         elif level == 9:
             cuts = self._inside(_SENTENCE, begin, end)
         elif level == 10:

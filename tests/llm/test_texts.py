@@ -106,6 +106,18 @@ def test_groups_of_sentences_change_nothing(monkeypatch):
     assert languages.sentence_languages(texts) == whole
 
 
+def test_one_very_long_text():
+    text = (HELD_OUT["en"] + " " + HELD_OUT["zh"] + "\n") * 8000
+    told = languages.sentence_languages([text, HELD_OUT["fr"]])
+    assert len(told) == 16001 and told[-1][0] == 1 and {t[3] for t in told[:-1]} == {"en", "zh"}
+    assert all(text[t[1] : t[2]].strip() in (HELD_OUT["en"], HELD_OUT["zh"]) for t in told[:-1])
+
+
+def test_one_very_long_text_in_pieces():
+    text = ("# Part\n" + "A sentence of some length stands here. " * 200 + "\n") * 300
+    check_cut(text, 3000, 100)
+
+
 # --- problem 4 --------------------------------------------------------------------------------------------------
 
 
