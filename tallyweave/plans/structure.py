@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SLICE_ANY, SLICE_LINE, lines_of
+from ..functions.text import SLICE_ANY, SLICE_LINE
 from ..operators import chunks as C
 from ..operators import figures, grids, headings, outline, panels
 from ..sources.tables import dealt, table
