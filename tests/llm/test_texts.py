@@ -253,7 +253,7 @@ def small_models():
     "lines, kinds",
     [
         (["the manage-", "ment of the company"], ["hyphen"]), (["the manage¬", "12 / 90", "ment"], ["hyphen", "page_no"]), (["the cornpany recorded"], ["ocr_char"]), (["the c0mpany"], ["ocr_char"]), (["the rec0rded manage- ", "rnent"], ["hyphen", "ocr_char"]),
-        (["由于朝货业务管理层"], ["ocr_char"]), (["期货业务菅理层己经"], ["ocr_char"]), (["the company", "recorded the balance"], []), (["the balance of interest-", "the company"], []), ([None, ""], []), (["B2B and 5G in 2O21"], ["ocr_char"]), (["B2B and 5G in 2021"], []),
+        (["由于朝货业务管理层"], ["ocr_char"]), (["期货业务菅理层己经"], ["ocr_char"]), (["the company", "recorded the balance"], []), (["the balance of interest-", "the company"], []), ([None, ""], []), (["B2B and 5G in 2O21"], ["ocr_char"]), (["B2B and 5G in 2021"], []), (["RMB1,234 for R01 and FY21"], []), (["a loss of RMBl08.4 million"], ["ocr_char"]),
     ],
 )
 def test_noises(lines, kinds):
