@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks, extraction, headings, retrieval, rules
-from .results import for_every_rule
+from .results import first_present, for_every_rule
 
 
 @dataclass(frozen=True)
@@ -29,40 +29,49 @@ class Settings:
     pages: str | None = None
 
 
+def _with_profile(df: DataFrame) -> DataFrame:
+    """Documents and rules meet by profile; where a table has none, all of it is one profile."""
+    return df if "profile" in df.columns else df.withColumn("profile", F.lit(""))
+
+
 def prepared(documents: DataFrame, settings: Settings) -> DataFrame:
-    """Chunks of documents (doc_id, text) after heading promotion and page filter, with a key."""
-    text = headings.relevel(documents.select("doc_id", "text"), language=settings.language, promote=True, longest=settings.longest_heading) if settings.promote else documents
-    built = chunks.build_chunks(text, max_chars=settings.max_chars, heading_levels=settings.heading_levels, strategy=settings.strategy)
-    keyed = built.withColumn("chunk_key", F.xxhash64("doc_id", "chunk_id"))
-    return chunks.on_pages(keyed, settings.pages)
+    """Chunks of documents (doc_id, profile, text) after heading promotion and page filter, with a key."""
+    given = _with_profile(documents).select("doc_id", "profile", "text")
+    text = headings.relevel(given, language=settings.language, promote=True, longest=settings.longest_heading) if settings.promote else given
+    # the profile rides along in the key, so that chunking needs no join afterwards
+    keyed = text.withColumn("_key", F.struct("doc_id", "profile"))
+    built = chunks.build_chunks(keyed, "_key", "text", max_chars=settings.max_chars, heading_levels=settings.heading_levels, strategy=settings.strategy)
+    parts = built.select(F.col("_key.doc_id").alias("doc_id"), F.col("_key.profile").alias("profile"), "chunk_id", "page_start", "page_end", "section_path", "text")
+    return chunks.on_pages(parts.withColumn("chunk_key", F.xxhash64("doc_id", "chunk_id")), settings.pages)
 
 
 def extract(documents: DataFrame, rule_table: DataFrame, responder: Callable[[str], str], settings: Settings = Settings()) -> DataFrame:
-    """Rows (doc_id, id, name, value, value_num, unit, error): a row per document and enabled rule.
+    """Rows (doc_id, id, name, value, value_num, unit, error): a row per document and enabled rule of its profile.
 
     The replies are persisted before they are used, so no prompt is asked twice.
     """
-    active = rules.enabled_rules(rule_table)
+    active = _with_profile(rules.enabled_rules(rule_table))
     parts = prepared(documents, settings)
     best = retrieval.best_chunks(retrieval.scored(parts, active, weights=settings.weights), settings.topk)
     prompts = extraction.rule_prompts(extraction.contexts(best, parts, settings.window), active, settings.template)
     replies = extraction.respond(prompts, ["doc_id", "rule_key"], responder).persist()
     found = replies.join(active.select("rule_key", F.col("id").alias("_id")), "rule_key").select("doc_id", F.col("_id").alias("id"), "value", "unit")
-    wanted = documents.select("doc_id").distinct().crossJoin(active.select("id", "name").distinct())
-    return for_every_rule(wanted, found)
+    return for_every_rule(_wanted(documents, active), found)
 
 
 def extract_whole(documents: DataFrame, rule_table: DataFrame, responder: Callable[[str], str], settings: Settings = Settings()) -> DataFrame:
-    """The same without retrieval: every window of a document is asked for all rules at once, the first value wins."""
-    from .results import first_present
-
-    active = rules.enabled_rules(rule_table)
+    """The same without retrieval: every window of a document is asked for all rules of its profile at once, the first value wins."""
+    active = _with_profile(rules.enabled_rules(rule_table))
     parts = prepared(documents, settings)
     listing = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule_key", "id", "name"))), lambda r: F.concat(F.lit("- id: "), r["id"], F.lit(" | name: "), r["name"])), "\n")
-    block = active.agg(listing.alias("_rules"))
-    windows = chunks.pack_windows(parts, settings.window).crossJoin(block)
+    listed = active.groupBy("profile").agg(listing.alias("_rules"))
+    of = _with_profile(documents).select("doc_id", "profile").distinct()
+    windows = chunks.pack_windows(parts, settings.window).join(of, "doc_id").join(listed, "profile")
     prompts = windows.withColumn("prompt", extraction.render("{rules_block}\n[Context]\n{context}", {"rules_block": F.col("_rules"), "context": F.col("text")}))
     replies = extraction.respond(prompts, ["doc_id", "window_no"], responder, many=True).persist()
     found = first_present(replies.where(F.col("id").isNotNull()), ["doc_id", "id"])
-    wanted = documents.select("doc_id").distinct().crossJoin(active.select("id", "name").distinct())
-    return for_every_rule(wanted, found.select("doc_id", "id", "value", "unit"))
+    return for_every_rule(_wanted(documents, active), found.select("doc_id", "id", "value", "unit"))
+
+
+def _wanted(documents: DataFrame, active: DataFrame) -> DataFrame:
+    return _with_profile(documents).select("doc_id", "profile").distinct().join(active.select("profile", "id", "name").distinct(), "profile").select("doc_id", "id", "name")

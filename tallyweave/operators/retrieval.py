@@ -52,18 +52,18 @@ def score(weights: dict[str, float] = WEIGHTS) -> Column:
     return aliases + companies + sections + F.col("_table") * w["table"]
 
 
-def scored(chunks: DataFrame, rules: DataFrame, on: list[str] | None = None, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+def scored(chunks: DataFrame, rules: DataFrame, on: tuple[str, ...] = ("profile",), weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """Rule-chunk pairs with a score above 0, text left behind.
 
-    ``on`` names columns both sides share (a chunk meets the rules of its own
-    profile); without it every rule meets every chunk. Rules that want parent
+    ``on`` names columns both sides share: a chunk meets the rules of its own
+    profile. Rules that want parent
     notes meet only chunks marked so, the others only the rest; no mark means no.
     """
     left = prepared_chunks(chunks)
     if "is_parent_note_block" not in left.columns:
         left = left.withColumn("is_parent_note_block", F.lit(False))
-    right = prepared_rules(rules).select(*(on or []), "rule_key", F.coalesce("allow_parent_note", F.lit(False)).alias("_parent"), "_aliases", "_sections", "_companies")
-    pairs = left.join(right, on) if on else left.crossJoin(right)
+    right = prepared_rules(rules).select(*on, "rule_key", F.coalesce("allow_parent_note", F.lit(False)).alias("_parent"), "_aliases", "_sections", "_companies")
+    pairs = left.join(right, list(on))
     pairs = pairs.where(F.coalesce("is_parent_note_block", F.lit(False)) == F.col("_parent")).withColumn("score", score(weights))
     return pairs.where(F.col("score") > 0).select("doc_id", "chunk_key", "chunk_id", "rule_key", "score")
 

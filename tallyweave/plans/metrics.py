@@ -48,7 +48,7 @@ _SCORED = f"""WITH c AS (SELECT chunk_key, doc_id, chunk_id, profile, {sql.match
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.scored(dealt(table(spark, d, "chunks").select("doc_id", "chunk_key", "chunk_id", "profile", "section_path", "text"), "doc_id"), rules.enabled_rules(table(spark, d, "rules")), ["profile"])
+    return retrieval.scored(dealt(table(spark, d, "chunks").select("doc_id", "chunk_key", "chunk_id", "profile", "section_path", "text"), "doc_id"), rules.enabled_rules(table(spark, d, "rules")))
 
 
 @query(f"{_SCORED} SELECT * FROM scored WHERE score > 0")

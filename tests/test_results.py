@@ -31,7 +31,7 @@ def loop_score(rule, chunk):
 
 def test_scores_against_a_loop(spark, data):
     chunks, rules = spark.read.parquet(f"{data}/chunks.parquet"), spark.read.parquet(f"{data}/rules.parquet")
-    got = {(r.chunk_key, r.rule_key): r.score for r in retrieval.scored(chunks, rules, ["profile"]).collect()}
+    got = {(r.chunk_key, r.rule_key): r.score for r in retrieval.scored(chunks, rules).collect()}
     want, local = {}, [c.asDict() for c in chunks.collect()]
     for rule in (r.asDict() for r in rules.collect()):
         for chunk in local:
@@ -49,7 +49,7 @@ RULE = "rule_key int, allow_parent_note boolean, aliases array<string>, section_
 def test_parent_notes_and_table_signals(spark):
     chunks = spark.createDataFrame([(1, 1, "chunk_0001", None, "项目 本期", None), (1, 2, "chunk_0002", ["x"], "Ａlpha", True)], CHUNK)
     rules = spark.createDataFrame([(1, False, ["none"], None, None), (2, True, ["alpha/beta"], ["", "x"], None)], RULE)
-    assert sorted((r.rule_key, r.chunk_key, r.score) for r in retrieval.scored(chunks, rules).collect()) == [(1, 1, 1.0), (2, 2, 8.0)]
+    assert sorted((r.rule_key, r.chunk_key, r.score) for r in retrieval.scored(chunks.withColumn("profile", F.lit("p")), rules.withColumn("profile", F.lit("p"))).collect()) == [(1, 1, 1.0), (2, 2, 8.0)]
 
 
 def test_ties_go_by_chunk_id_as_text(spark):
