@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 # Letters of other scripts that look like a Latin letter, letter case kept.
 CYRILLIC = ("аеорсухіјѕһԁԛԝӏАВЕКМНОРСТХІЈЅҮ", "aeopcyxijshdqwlABEKMHOPCTXIJSY")
 GREEK = ("οινΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "oivABEZHIKMNOPTYXcj")
+RADICALS = ("⺠⻄⻅⻆⻉⻋⻓⻔⻘⻚⻛⻜⻝⻢⻤⻥⻦⻩⻬⻮⻰", "民西见角贝车长门青页风飞食马鬼鱼鸟黄齐齿龙")
 OTHER = ("ɑɡıℓ‐‑’ʼ‘ˈ", "agil--''''")
 #: Invisible characters: joiners, marks of direction, soft hyphen, byte order mark, selectors.
 INVISIBLE = "[\\x{00AD}\\x{034F}\\x{061C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{1D173}-\\x{1D17A}\\x{E0000}-\\x{E007F}\\x{E0100}-\\x{E01EF}]"
@@ -51,7 +52,7 @@ def tables() -> tuple[str, str, list[tuple[str, str]]]:
                 target.append(form)
     for code in (*range(0xFB00, 0xFB07), 0x132, 0x133, 0x1C7, 0x1C8, 0x1C9, 0x1CA, 0x1CB, 0x1CC, 0x2026):
         several.append((chr(code), unicodedata.normalize("NFKC", chr(code))))
-    for pair in (CYRILLIC, GREEK, OTHER, SOUND_MARKS):
+    for pair in (CYRILLIC, GREEK, RADICALS, OTHER, SOUND_MARKS):
         source += pair[0]
         target += pair[1]
     return "".join(source), "".join(target), several
