@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SLICE_ANY, SLICE_LINE, lines_of, strip
@@ -125,10 +125,19 @@ def window_numbers(sizes: Column, budget: int) -> Column:
 
 
 def pack_windows(chunks: DataFrame, budget: int = 32000, document: str = "doc_id", order: str = "chunk_id", block: Column | None = None) -> DataFrame:
-    """Rows (document, window_no, n_blocks, text): blocks in order, two line ends between, packed greedily."""
+    """Rows (document, window_no, n_blocks, text): blocks in order, two line ends between, packed greedily.
+
+    Only the blocks' sizes are gathered per document; texts meet their window by
+    number, so no task holds more text than a window.
+    """
     text = block if block is not None else with_breadcrumb(*(F.col(c) for c in ("chunk_id", "page_start", "page_end", "section_path", "text")))
-    blocks = chunks.select(document, F.struct(F.col(order).alias("o"), text.alias("b")).alias("x")).groupBy(document).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]).alias("_blocks"))
-    packed = blocks.withColumn("_starts", window_numbers(F.transform("_blocks", lambda b: (F.length(b) + 2).cast("bigint")), budget))
-    rows = packed.select(document, "_blocks", "_starts", F.posexplode("_starts").alias("_i", "_from"))
-    held = F.slice("_blocks", F.col("_from") + 1, F.coalesce(F.try_element_at("_starts", F.col("_i") + 2), F.size("_blocks")) - F.col("_from"))
-    return rows.select(document, (F.col("_i") + 1).alias("window_no"), F.size(held).alias("n_blocks"), F.array_join(held, "\n\n").alias("text"))
+    blocks = chunks.select(document, F.col(order).alias("_o"), F.coalesce(text, F.lit("")).alias("_b"))
+    numbered = blocks.withColumn("_n", F.row_number().over(Window.partitionBy(document).orderBy("_o", "_b")))
+    sizes = numbered.groupBy(document).agg(F.array_sort(F.collect_list(F.struct("_n", (F.length("_b") + 2).cast("bigint").alias("s")))).alias("_s"))
+    starts = sizes.select(document, F.size("_s").alias("_all"), window_numbers(F.transform("_s", lambda x: x["s"]), budget).alias("_starts"))
+    windows = starts.select(document, "_all", "_starts", F.posexplode("_starts").alias("_i", "_from"))
+    until = F.coalesce(F.try_element_at("_starts", F.col("_i") + 2), F.col("_all"))
+    places = windows.select(F.col(document).alias("_doc"), (F.col("_i") + 1).alias("window_no"), F.explode(F.sequence(F.col("_from") + 1, until)).alias("_m"))
+    same = numbered[document].eqNullSafe(places["_doc"]) & (numbered["_n"] == places["_m"])
+    held = numbered.join(places, same).groupBy(document, "window_no").agg(F.array_sort(F.collect_list(F.struct("_n", "_b"))).alias("_x"))
+    return held.select(document, "window_no", F.size("_x").alias("n_blocks"), F.array_join(F.transform("_x", lambda x: x["_b"]), "\n\n").alias("text"))

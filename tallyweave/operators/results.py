@@ -51,7 +51,10 @@ def comparison(results: DataFrame, entities: list[str], entity: str = "entity")
 
 
 def records(results: DataFrame, entity: str = "entity") -> DataFrame:
-    """A row per id with a map from entity to value and unit; of repeated results the last counts."""
+    """A row per id with a map from entity to value and unit; of repeated results the last counts.
+
+    The entities are those being compared: a bounded set, as the map is one cell.
+    """
     last = results.groupBy("id", entity).agg(F.max_by(F.struct("name", "value", "unit"), "result_id").alias("_r"))
     present = last.where(~absent(F.col("_r.value")))
     return present.groupBy("id").agg(F.min("_r.name").alias("name"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(entity), F.struct(F.col("_r.value").alias("value"), F.col("_r.unit").alias("unit")).alias("v"))))).alias("values"))

@@ -154,12 +154,12 @@ def comparison_wide(spark, d):
 
 
 @query(
-    """WITH last AS (SELECT id, company, name, value, unit FROM metric_results WHERE company IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, company ORDER BY result_id DESC) = 1)
-    SELECT id, min(name) AS name, count(*) AS n_entities, string_agg(company || '=' || value || coalesce(unit, ''), '; ' ORDER BY company) AS entries FROM last WHERE value IS NOT NULL AND value NOT IN ('', 'null') GROUP BY id"""
+    """WITH last AS (SELECT id, rule_group AS entity, name, value, unit FROM metric_results WHERE rule_group IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, rule_group ORDER BY result_id DESC) = 1)
+    SELECT id, min(name) AS name, count(*) AS n_entities, string_agg(entity || '=' || value || coalesce(unit, ''), '; ' ORDER BY entity) AS entries FROM last WHERE value IS NOT NULL AND value NOT IN ('', 'null') GROUP BY id"""
 )
 def records_multi(spark, d):
-    """Records by id over all companies, the map written out in order."""
-    recs = results.records(table(spark, d, "metric_results").where(F.col("company").isNotNull()), "company")
+    """Records by id over the groups of rules, the map written out in order."""
+    recs = results.records(table(spark, d, "metric_results").where(F.col("rule_group").isNotNull()), "rule_group")
     entries = F.array_sort(F.map_entries("values"))
     text = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"]["value"], F.coalesce(e["value"]["unit"], F.lit("")))), "; ")
     return recs.select("id", "name", F.size("values").cast("bigint").alias("n_entities"), text.alias("entries"))
