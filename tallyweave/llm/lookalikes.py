@@ -75,6 +75,32 @@ def _connect() -> duckdb.DuckDBPyConnection:
     return connection
 
 
+def _forms_sql() -> tuple[str, str]:
+    """(a common table expression of the forms, SQL of the consistent form of ``_column_``)."""
+    source, target, several = (x.replace("'", "''") if isinstance(x, str) else x for x in tables())
+    inner = "_column_"
+    for form, letters in several:
+        inner = f"replace({inner}, '{form}', '{letters}')"
+    form = f"nfc_normalize(regexp_replace(regexp_replace(translate({inner}, source, target), '{INVISIBLE}', '', 'g'), '{SPACES}', ' ', 'g'))"
+    return f"forms AS (SELECT '{source}' AS source, '{target}' AS target)", form
+
+
+def texts_sql() -> str:
+    forms, form = _forms_sql()
+    return f"WITH {forms} SELECT chunk_key, {form.replace('_column_', 'text')} AS text FROM chunks, forms"
+
+
+def found_sql() -> str:
+    """``readable_aliases`` over the whole tables as one query, without Spark: what its result is compared with."""
+    forms, form = _forms_sql()
+    return f"""
+        WITH {forms}, texts AS (SELECT chunk_key, profile, text AS raw, {form.replace('_column_', 'text')} AS form FROM chunks, forms WHERE text <> ''),
+        given AS (SELECT rule_key, profile, unnest(aliases) AS raw FROM rules WHERE profile IS NOT NULL),
+        aliases_ AS (SELECT rule_key, profile, raw, {form.replace('_column_', 'raw')} AS form FROM given, forms WHERE raw <> '')
+        SELECT rule_key, chunk_key FROM texts JOIN aliases_ USING (profile) WHERE aliases_.form <> '' GROUP BY rule_key, chunk_key
+        HAVING bool_or(contains(texts.form, aliases_.form)) AND NOT bool_or(contains(texts.raw, aliases_.raw))"""
+
+
 def consistent_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key, text) with the text in its consistent form.
 

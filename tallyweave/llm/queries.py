@@ -90,6 +90,8 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_segments, p4_found, p4_texts, p5_found, p5_clean, p6_found, p6_paragraphs, p7_ids, p7_decoded, p8_containers, p8_usage, p9_found, p9_clean)}
 
 ORACLES = {
+    "p4_found": lookalikes.found_sql(),
+    "p4_texts": lookalikes.texts_sql(),
     "p2_found": "SELECT c.chunk_key FROM chunks c JOIN (SELECT profile, min(chunk_max_chars) AS most FROM profiles GROUP BY profile) p USING (profile) WHERE length(c.text) > p.most",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
