@@ -15,16 +15,19 @@ def line_kinds(text: Column, heading_levels: int = 6) -> Column:
     """
     heading = rf"^#{{1,{heading_levels}}}\s+" if heading_levels >= 1 else r"^\x00$"
 
-    def one(raw: Column) -> Column:
-        bare = strip(raw)
-        kind = F.when(bare.rlike(SLICE_LINE), F.lit("marker")).when(bare.rlike(heading), F.lit("heading")).when(bare == "", F.lit("blank")).otherwise(F.lit("text"))
-        return F.struct(
-            raw.alias("raw"), kind.alias("kind"),
-            F.length(F.regexp_extract(bare, r"^(#{1,6})\s", 1)).alias("level"), strip(F.regexp_replace(bare, r"^#{1,6}\s+", "")).alias("title"),
-            F.when(kind == "marker", F.regexp_extract(bare, SLICE_ANY, 1).try_cast("int")).alias("page_start"), F.when(kind == "marker", F.regexp_extract(bare, SLICE_ANY, 2).try_cast("int")).alias("page_end"),
-        )
+    # three passes, so that trimming and the marker's pattern are evaluated once a line
+    bare = F.transform(lines_of(text), lambda x: F.struct(x.alias("raw"), strip(x).alias("bare")))
+    kind = lambda x: F.when(x["bare"].rlike(SLICE_LINE), F.lit("marker")).when(x["bare"].rlike(heading), F.lit("heading")).when(x["bare"] == "", F.lit("blank")).otherwise(F.lit("text"))
+    told = F.transform(bare, lambda x: F.struct(x["raw"].alias("raw"), x["bare"].alias("bare"), kind(x).alias("kind")))
+
+    def one(x: Column) -> Column:
+        page = lambda n: F.when(x["kind"] == "marker", F.regexp_extract(x["bare"], SLICE_ANY, n).try_cast("int"))
+        is_heading = x["bare"].startswith("#")
+        level = F.when(is_heading, F.length(F.regexp_extract(x["bare"], r"^(#{1,6})\s", 1))).otherwise(F.lit(0))
+        title = F.when(is_heading, strip(F.regexp_replace(x["bare"], r"^#{1,6}\s+", ""))).otherwise(x["bare"])
+        return F.struct(x["raw"].alias("raw"), x["kind"].alias("kind"), level.alias("level"), title.alias("title"), page(1).alias("page_start"), page(2).alias("page_end"))
 
-    return F.transform(lines_of(text), one)
+    return F.transform(told, one)
 
 
 _STATE = "struct<stack: array<string>, page_start: int, page_end: int, held: int, chunks: array<struct<line: int, path: array<string>, page_start: int, page_end: int>>>"
@@ -70,13 +73,18 @@ def build_chunks(df: DataFrame, key: str = "doc_id", text: str = "text", max_cha
     """
     levels = 0 if strategy == "fixed" else heading_levels
     lined = df.select(F.col(key), line_kinds(F.col(text), levels).alias("_lines")).withColumn("_starts", chunk_starts(F.col("_lines"), max_chars))
-    exploded = lined.select(key, "_lines", "_starts", F.posexplode("_starts").alias("_i", "_c"))
-    following = F.coalesce(F.try_element_at("_starts", F.col("_i") + 2)["line"], F.size("_lines"))
-    held = F.filter(F.slice("_lines", F.col("_c.line") + 1, following - F.col("_c.line")), lambda x: ~x["kind"].isin("marker", "blank"))
-    return exploded.select(
-        key, F.format_string("chunk_%04d", F.col("_i") + 1).alias("chunk_id"), F.col("_c.page_start").alias("page_start"), F.col("_c.page_end").alias("page_end"),
-        F.col("_c.path").alias("section_path"), strip(F.array_join(F.transform(held, lambda x: x["raw"]), "\n")).alias("text"),
-    )
+
+    def one(c: Column, i: Column) -> Column:
+        following = F.coalesce(F.try_element_at(F.col("_starts"), (i + 2).cast("int"))["line"], F.size("_lines"))
+        held = F.filter(F.slice(F.col("_lines"), c["line"] + 1, following - c["line"]), lambda x: ~x["kind"].isin("marker", "blank"))
+        text = strip(F.array_join(F.transform(held, lambda x: x["raw"]), "\n"))
+        return F.struct(c["page_start"].alias("page_start"), c["page_end"].alias("page_end"), c["path"].alias("section_path"), text.alias("text"))
+
+    # chunks are made inside the row, so that no chunk carries its document along; the outer form of the
+    # explosion, for from the inner one Spark infers a filter that evaluates the fold a second time
+    made = lined.select(key, F.transform("_starts", one).alias("_chunks"))
+    exploded = made.select(key, F.posexplode_outer("_chunks").alias("_i", "_c")).where(F.col("_i").isNotNull())
+    return exploded.select(key, F.format_string("chunk_%04d", F.col("_i") + 1).alias("chunk_id"), "_c.page_start", "_c.page_end", "_c.section_path", "_c.text")
 
 
 def with_breadcrumb(chunk_id: Column, page_start: Column, page_end: Column, path: Column, text: Column) -> Column:

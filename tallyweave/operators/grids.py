@@ -23,7 +23,7 @@ def pipe_cells(line: Column) -> Column:
 
 def numbered_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, line_no, raw), line_no from 0."""
-    return df.select(key, F.posexplode(lines_of(F.col(text))).alias("line_no", "raw"))
+    return df.select(key, F.posexplode_outer(lines_of(F.col(text))).alias("line_no", "raw")).where(F.col("line_no").isNotNull())
 
 
 def level_path(lines: DataFrame, key: str = "doc_id") -> DataFrame:

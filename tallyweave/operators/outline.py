@@ -18,12 +18,16 @@ def slice_sections(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     lined = df.select(F.col(key), lines_of(F.col(text)).alias("_l")).where(F.size("_l") > 0)
     marks = F.array_compact(F.transform("_l", lambda x, i: F.when(strip(x).rlike(SLICE_LINE), i)))
     starts = lined.withColumn("_marks", marks).withColumn("_starts", F.when(F.size("_marks") == 0, F.array(F.lit(0))).otherwise(F.concat(F.array(F.lit(0)), F.slice("_marks", 2, F.size("_marks")))))
-    each = starts.select(key, "_l", "_marks", "_starts", F.posexplode("_starts").alias("_i", "_from"))
-    until = F.coalesce(F.try_element_at("_starts", F.col("_i") + 2), F.size("_l"))
-    held = F.filter(F.slice("_l", F.col("_from") + 1, until - F.col("_from")), lambda x: ~strip(x).rlike(SLICE_LINE))
-    marker = strip(F.try_element_at("_l", F.try_element_at("_marks", F.col("_i") + 1) + 1))
-    page = lambda n: F.regexp_extract(marker, SLICE_ANY, n).try_cast("int")
-    return each.select(key, (F.col("_i") + 1).alias("section_no"), page(1).alias("page_start"), page(2).alias("page_end"), strip(F.array_join(held, "\n")).alias("body"))
+
+    def one(begin: Column, i: Column) -> Column:
+        until = F.coalesce(F.try_element_at(F.col("_starts"), (i + 2).cast("int")), F.size("_l"))
+        held = F.filter(F.slice(F.col("_l"), begin + 1, until - begin), lambda x: ~strip(x).rlike(SLICE_LINE))
+        marker = strip(F.try_element_at(F.col("_l"), F.try_element_at(F.col("_marks"), (i + 1).cast("int")) + 1))
+        page = lambda n: F.regexp_extract(marker, SLICE_ANY, n).try_cast("int")
+        return F.struct(page(1).alias("page_start"), page(2).alias("page_end"), strip(F.array_join(held, "\n")).alias("body"))
+
+    each = starts.select(key, F.transform("_starts", one).alias("_sections")).select(key, F.posexplode_outer("_sections").alias("_i", "_s"))
+    return each.select(key, (F.col("_i") + 1).alias("section_no"), "_s.page_start", "_s.page_end", "_s.body")
 
 
 def blocks(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
