@@ -326,3 +326,20 @@ def test_residue_of_odd_tables(spark, data):
     marked = residue.mark_residue(both)
     assert marked.count() == documents.count() + 5 and marked.where("doc_id < 0 AND coverage > 0").count() == 2
     assert residue.with_residue(both).where("doc_id < 0").count() == 1 and residue.with_residue(both.limit(0)).count() == 0
+
+
+# --- hostile texts ----------------------------------------------------------------------------------------------
+
+HOSTILE = ["'a", "$a_{b ", "\\\\(", "[[a ", "{{a ", "<td x", "`a", "```\n", "**a ", "__a ", "==a\n", "{|\n", "<!--", "a!b", "ab-\n", "\n", "- a\n", "# a\n", "| a |\n", "XX", "lorem ipsum "]
+
+
+@pytest.mark.parametrize("unit", HOSTILE)
+def test_hostile_texts_take_linear_time(unit, models):
+    import time
+
+    lexicon, contexts = small_models()
+    text = unit * 10_000
+    for kernel in (markup.convert, lambda t: scans.noises([[t]], lexicon, contexts), lambda t: scans.repair([t], lexicon, contexts), lambda t: residue.residue_of(t, models), lambda t: languages.sentence_languages([t]), lambda t: pieces.cut(t, 1000, 50)):
+        began = time.perf_counter()
+        kernel(text)
+        assert time.perf_counter() - began < 10
