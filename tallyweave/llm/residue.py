@@ -4,7 +4,9 @@ Two character n-gram models are fitted: one over the characters of the text,
 for filler and for error and script notices against natural prose, and one over
 the text's shape (letters, digits and ideographs reduced to classes), for
 unfilled placeholders. Natural prose is the corpus itself, counted over all
-documents; filler, notices and placeholders come from the seeds below. Windows
+documents without the passages that already are residue under a model of general
+prose, so that residue doesn't become natural by being frequent; filler, notices
+and placeholders come from the seeds below. Windows
 where the likelihood ratio sums up highest localise the residue; an exact check
 of the lines under a window follows. Documents with residue are excluded by the
 share of the text that it covers.
@@ -299,13 +301,29 @@ def kind_of(line: str, scores: np.ndarray) -> str | None:
 # --- Spark ------------------------------------------------------------------------------------------------------
 
 
+def general_models() -> Models:
+    """Models that know the sample texts as natural prose and nothing of the corpus."""
+    return Models(np.zeros(BUCKETS), PRIOR * _seed_counts("\n".join(SAMPLES.values()), lambda s: shape(s)[0], SHAPE_GRAM))
+
+
+def natural(text: str, general: Models) -> str:
+    """The text without its passages of residue under the general models."""
+    kept, end = [], 0
+    for a, b, _ in residue_of(text, general):
+        if a > end:
+            kept.append(text[end:a])
+        end = max(end, b)
+    return "\n".join([*kept, text[end:]]) if end else text
+
+
 def _counts(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of hashed n-grams over all texts: two vectors of BUCKETS numbers, summed up by bucket."""
+    """Counts of hashed n-grams over the natural part of all texts: two vectors of BUCKETS numbers, summed up by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), dtype=np.int64)
+        general = general_models()
         for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t]
+            texts = [natural(t, general) for t in batch.column(0).to_pylist() if t]
             joined = "\n".join(texts)
             if joined:
                 sums[0] += np.bincount(grams(letters(joined)), minlength=BUCKETS)

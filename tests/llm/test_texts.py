@@ -343,3 +343,12 @@ def test_hostile_texts_take_linear_time(unit, models):
         began = time.perf_counter()
         kernel(text)
         assert time.perf_counter() - began < 10
+
+
+def test_frequent_residue_is_not_natural(spark, data):
+    documents = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    page = "Sorry, the page you requested could not be found. Check the address or return to the home page."
+    copies = documents.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit(page).alias("text"))
+    blank = documents.select((-F.col("doc_id") - 1_000_001).alias("doc_id"), F.lit("The report of {{company_name}} follows.").alias("text"))
+    found = residue.with_residue(documents.unionByName(copies).unionByName(blank))
+    assert found.where("doc_id < 0").count() == 2 * documents.count()
