@@ -247,9 +247,17 @@ def residue_of(text: str | None, models: Models) -> list[tuple[int, int, str]]:
     places = [(int(at[begin]), int(at[min(end, len(at) - 1)])) for begin, end, _ in windows(models.blank[grams(codes, SHAPE_GRAM)], BLANK_FLOOR)]
     scores = models.notice[grams(letters(text))]
     notices = windows(scores, FLOOR)
-    for a, b in places + [(a, b) for a, b, _ in notices]:
-        for m in (*_PLACEHOLDER.finditer(text, max(0, a - 24), b + 24), *_INSERT.finditer(text, max(0, a - 24), b + 24)):
-            found.append((m.start(), m.end(), "placeholder"))
+    looked = -1
+    for a, b in sorted(places + [(a, b) for a, b, _ in notices]):
+        # a placeholder ends with its line, so the lines that the window meets hold it whole
+        a = max(text.rfind("\n", 0, max(0, a - 24)) + 1, looked)
+        b = text.find("\n", min(b + 24, len(text)))
+        b = len(text) if b < 0 else b
+        if a < b:
+            for m in (*_PLACEHOLDER.finditer(text, a, b), *_INSERT.finditer(text, a, b)):
+                found.append((m.start(), m.end(), "placeholder"))
+            looked = b
+    kinds: dict[tuple[int, int], str | None] = {}
     for begin, end, _ in notices:
         a = text.rfind("\n", 0, begin) + 1
         while a < end:  # every line that the window meets
@@ -257,9 +265,10 @@ def residue_of(text: str | None, models: Models) -> list[tuple[int, int, str]]:
             b = len(text) if b < 0 else b
             if min(b, end) - max(a, begin) >= GRAM:
                 for c, d in [(a, b), *_sentences(text, a, b, begin, end)]:
-                    kind = kind_of(text[c:d], scores[c : max(c, d - GRAM + 1)])
-                    if kind:
-                        found.append((c, d, kind))
+                    if (c, d) not in kinds:
+                        kinds[c, d] = kind_of(text[c:d], scores[c : max(c, d - GRAM + 1)])
+                    if kinds[c, d]:
+                        found.append((c, d, kinds[c, d]))
                         break
             a = b + 1
     return sorted(set(found))

@@ -352,3 +352,7 @@ def test_frequent_residue_is_not_natural(spark, data):
     blank = documents.select((-F.col("doc_id") - 1_000_001).alias("doc_id"), F.lit("The report of {{company_name}} follows.").alias("text"))
     found = residue.with_residue(documents.unionByName(copies).unionByName(blank))
     assert found.where("doc_id < 0").count() == 2 * documents.count()
+
+
+def test_long_placeholder(models):
+    assert {k for _, _, k in residue.residue_of(f"{PROSE}\nSigned by [Insert name of the company and its auditor] today.\n{PROSE}", models)} == {"placeholder"}
