@@ -8,8 +8,9 @@ cost under the corpus' own word counts is taken. Ideographs have no word breaks;
 there the counts of three-character contexts decide between look-alikes.
 Paragraph boundaries are chosen by dynamic programming over the lines.
 
-Counts are taken over all texts. What travels to the workers are words and
-contexts of at least SHARE of all, so at most 1 / SHARE of either.
+Counts are taken over all texts, and exact whatever their size: all contexts
+travel to the workers, and all words but those seen once, which are the words
+that stand in a text and have no count.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-#: Least share of all words (contexts) of a word (context) whose count is used.
-SHARE = 1e-6
 #: How many times as frequent a reading must be to replace what stands there.
 RATIO = 20
 #: Least count of a replacing word or context.
@@ -164,7 +163,7 @@ class Lexicon:
             return None
         if token in self.memo:
             return self.memo[token]
-        own = self.counts.get(token.lower(), 0) if token.isalpha() else 0
+        own = self.counts.get(token.lower(), 1) if token.isalpha() else 0
         best, most = None, 0
         core = token.rstrip("!|$")
         if len(core) >= 3 and own * RATIO < self.total and (own == 0 or own * RATIO <= self.top):
@@ -457,7 +456,7 @@ def items_of(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def corpus_counts(items: DataFrame) -> tuple[dict[str, int], int, np.ndarray, np.ndarray]:
-    """(word counts, number of words, context keys, context counts) over all items, rare ones left out by SHARE."""
+    """(word counts from 2 on, number of words, context keys, context counts) over all items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -489,11 +488,8 @@ def corpus_counts(items: DataFrame) -> tuple[dict[str, int], int, np.ndarray, np
 
     counted = items.select("elements").mapInArrow(run, "kind int, word string, key bigint, n bigint").groupBy("kind", "word", "key").agg(F.sum("n").alias("n"))
     counted = cut_lineage(counted)
-    totals = {r["kind"]: r["n"] for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    words_total, contexts_total = totals.get(2, 0), totals.get(1, 0)
-    kept = counted.where(
-        ((F.col("kind") == 0) & (F.col("n") >= max(2.0, SHARE * words_total))) | ((F.col("kind") == 1) & (F.col("n") >= max(2.0, SHARE * contexts_total)))
-    ).toArrow()  # at most 1 / SHARE rows of either kind
+    words_total = counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+    kept = counted.where("kind = 1 OR kind = 0 AND n >= 2").toArrow()
     kind = kept.column("kind").to_numpy()
     n = kept.column("n").to_numpy()
     words = dict(zip(kept.column("word").filter(pa.array(kind == 0)).to_pylist(), n[kind == 0].tolist()))
