@@ -133,6 +133,7 @@ class Lexicon:
         self.counts = counts
         self.total = max(1, total)
         self.memo: dict[str, str | None] = {}
+        self.edges: dict[str, list[tuple[float, str | None, str]]] = {}
         self.swaps = [tuple(x.split(":")) for x in CONFUSIONS]
 
     def cost(self, word: str) -> float:
@@ -187,6 +188,28 @@ class Lexicon:
     def known(self, word: str) -> bool:
         return self.counts.get(word.lower(), 0) >= 3
 
+    def meant(self, token: str) -> str | None:
+        """The word meant by a token that may be judged."""
+        if token.isalpha():
+            if len(token) < 4 or self.counts.get(token.lower(), 0) * RATIO > self.top:
+                return None
+        elif _NO_WORD.fullmatch(token) or sum(c.isdigit() for c in token) > max(2, len(token) // 2):
+            return None
+        return self.misread(token)
+
+    def alone(self, token: str) -> list[tuple[float, str | None, str]]:
+        """Edges (cost, new text, kind) of one token; the last is that it stays."""
+        if token not in self.edges:
+            edges: list[tuple[float, str | None, str]] = []
+            if meant := self.meant(token):
+                edges.append((self.cost(meant) + _CHANGE, meant, "ocr_char"))
+            if parts := self.split(token):
+                edges.append((sum(map(self.cost, parts)) + 4.0, " ".join(parts), "split"))
+            if len(self.edges) > 500_000:
+                self.edges.clear()
+            self.edges[token] = [*edges, (self.cost(token), None, "")]
+        return self.edges[token]
+
     def split(self, token: str) -> tuple[str, str] | None:
         best, cheapest = None, self.cost(token) - 4.0
         if 6 <= len(token) <= LONGEST_WORD and not self.known(token) and token.isalpha():
@@ -198,23 +221,17 @@ class Lexicon:
         return best
 
 
-def hyphenated(left: str, right: str, mark: str, lexicon: Lexicon) -> bool:
-    """Whether a word was cut between left and right; a compound may keep its own hyphen."""
-    if mark in "¬­‐":
-        return True
-    joined = left + right
-    if lexicon.known(joined) or lexicon.misread(joined):
-        return True
-    return not (lexicon.known(left) and lexicon.known(right) and len(left) > 2 and len(right) > 2)
+#: Stands in a stream where a line ended after a mark that may have cut a word.
+_JOIN = "\ue000"
+_CHANGE = math.log(RATIO)
 
 
-def join_lines(lines: list[str], lexicon: Lexicon | None) -> tuple[str, bool]:
-    """(stream without lines, whether a word was cut by a mark at a line's end)."""
+def join_lines(lines: list[str]) -> str:
+    """The stream without lines; a mark that may have cut a word stays, followed by _JOIN."""
     out: list[str] = []
-    cut = False
     last = ""  # the part of the stream that the next line follows, "" at a break
     for line in lines:
-        line = line.rstrip()
+        line = line.rstrip().replace(_JOIN, "")
         if not line:
             if last:
                 out.append("\n")
@@ -231,33 +248,89 @@ def join_lines(lines: list[str], lexicon: Lexicon | None) -> tuple[str, bool]:
         if not last:
             out.append(start)
         elif last[-1] in _MARKS and _CUT.search(last) and _LATIN.match(start):
-            head = _TAIL.search(last[:-1])
-            left, right = head.group(0) if head else "", _TOKEN.match(start).group(0)
-            if left and (lexicon is None or hyphenated(left, right, last[-1], lexicon)):
-                cut = True
-                out[-1] = out[-1][:-1]
-            out.append(start)
+            out.append(_JOIN + start if _TAIL.search(last[:-1]) else start)
         else:
             # ideographs need no space, but one that begins the line is kept
             wide = (last[-1] > "\u2e80" or start[0] > "\u2e80") and not first.isspace()
             out.append(start if wide else " " + start)
         last = line
-    return "".join(out), cut
+    return "".join(out)
 
 
-def misread_words(stream: str, lexicon: Lexicon) -> list[tuple[str, str]]:
-    """(token, word meant) of the Latin tokens that are misread."""
-    found = []
-    for token in set(_TOKEN.findall(stream)):
-        if token.isalpha():
-            if len(token) < 4 or lexicon.counts.get(token.lower(), 0) * RATIO > lexicon.top:
-                continue
-        elif _NO_WORD.fullmatch(token) or sum(c.isdigit() for c in token) > max(2, len(token) // 2):
-            continue
-        meant = lexicon.misread(token)
-        if meant:
-            found.append((token, meant))
-    return found
+def decode(stream: str, lexicon: Lexicon) -> list[tuple[int, int, str, str]]:
+    """(begin, end, text, kinds) of the changes on the path of least cost through the stream's lattice.
+
+    Nodes lie between tokens. Edges: a token stays, is misread or split; two that
+    stand apart by a space are merged; the parts of a word cut at lines' ends are
+    joined. The last two may be misread as well. A cut compound may keep its own
+    hyphen where both parts are words.
+    """
+    tokens = list(_TOKEN.finditer(stream))
+    n = len(tokens)
+    skipped = [False] * n
+    if _SKIP_SIGN.search(stream):
+        spans = [m.span() for m in _SKIP.finditer(stream)]
+        at = 0
+        for i, m in enumerate(tokens):
+            while at < len(spans) and spans[at][1] <= m.start():
+                at += 1
+            skipped[i] = at < len(spans) and spans[at][0] < m.end()
+    costs: list[float] = [0.0] + [math.inf] * n
+    back: list[tuple[int, str | None, str]] = [(0, None, "")] * (n + 1)
+    cut_after = [False] * n
+    crossing = [0.0] * n
+    words = [m.group(0) for m in tokens]
+    apart = [False] * n
+    for i in range(n - 1):
+        a, b = tokens[i].end(), tokens[i + 1].start()
+        if b - a == 1 and stream[a] == " ":
+            apart[i] = True
+        elif b - a == 2 and stream[a + 1] == _JOIN and stream[a] in _MARKS:
+            cut_after[i] = True
+            left, right = words[i], words[i + 1]
+            whole = stream[a] == "-" and len(left) > 2 and len(right) > 2 and lexicon.known(left) and lexicon.known(right)
+            crossing[i] = _CHANGE if whole else 1e3  # two words only where they are too long for one
+
+    def edge(i: int, j: int, cost: float, text: str | None, kinds: str) -> None:
+        cost += costs[i] + crossing[j - 1]
+        if cost < costs[j]:
+            costs[j], back[j] = cost, (i, text, kinds)
+
+    for i, word in enumerate(words):
+        for cost, text, kind in lexicon.alone(word)[-1:] if skipped[i] else lexicon.alone(word):
+            edge(i, i + 1, cost, text, kind)
+        if cut_after[i]:
+            j, joined = i + 1, word
+            while j < n and cut_after[j - 1] and len(joined) + len(words[j]) <= LONGEST_WORD:
+                joined += words[j]
+                j += 1
+                if not any(skipped[i:j]) and (meant := lexicon.meant(joined)):
+                    edge(i, j, lexicon.cost(meant) + _CHANGE, meant, "hyphen ocr_char")
+                edge(i, j, lexicon.cost(joined), joined, "hyphen")
+        elif apart[i] and not skipped[i] and not skipped[i + 1] and word.isalpha() and words[i + 1].isalpha() and not (lexicon.known(word) and lexicon.known(words[i + 1])):
+            joined = word + words[i + 1]
+            if lexicon.known(joined):
+                edge(i, i + 2, lexicon.cost(joined) + _CHANGE, joined, "merge")
+            elif meant := lexicon.meant(joined):
+                edge(i, i + 2, lexicon.cost(meant) + 2 * _CHANGE, meant, "merge ocr_char")
+    changes = []
+    j = n
+    while j:
+        i, text, kinds = back[j]
+        if text is not None:
+            changes.append((tokens[i].start(), tokens[j - 1].end(), text, kinds))
+        j = i
+    return changes[::-1]
+
+
+def decoded(stream: str, lexicon: Lexicon) -> tuple[str, set[str]]:
+    """(stream with the changes made, their kinds)."""
+    out, end, met = [], 0, set()
+    for a, b, text, kinds in decode(stream, lexicon):
+        out += (stream[end:a], text)
+        end = b
+        met.update(kinds.split())
+    return "".join([*out, stream[end:]]).replace(_JOIN, ""), met
 
 
 # --- ideographs -------------------------------------------------------------------------------------------------
@@ -352,11 +425,11 @@ def noises(items: list[list[str | None] | None], lexicon: Lexicon, contexts: Con
     streams: list[str] = []
     for elements in items:
         kept, met = body_lines(_lines(elements or []))
-        stream, cut = join_lines(kept, lexicon)
-        if cut:
-            met.add("hyphen")
-        prose = _SKIP.sub(" ", stream) if _SKIP_SIGN.search(stream) else stream
-        if misread_words(prose, lexicon) or _ODD_NUMBER.search(prose):
+        stream = join_lines(kept)
+        fixed, kinds = decoded(stream, lexicon)
+        met |= kinds & {"hyphen", "ocr_char"}
+        prose = _SKIP.sub(" ", fixed) if _SKIP_SIGN.search(fixed) else fixed
+        if _ODD_NUMBER.search(prose):
             met.add("ocr_char")
         found.append(met)
         streams.append(prose)
@@ -424,24 +497,13 @@ def repair(elements: list[str | None], lexicon: Lexicon, contexts: Contexts) ->
         if group[0].lstrip().startswith(("#", "|")):
             out.append("\n".join(group))
             continue
-        stream = join_lines(group, lexicon)[0].strip("\n")
+        stream = join_lines(group).strip("\n")
         letters = list(stream)
         for at, meant in contexts.misread(stream):
             letters[at] = meant
         stream = "".join(letters)
-        read = dict(misread_words(_SKIP.sub(" ", stream), lexicon))
-        if read:
-            stream = _TOKEN.sub(lambda m: read.get(m.group(0), m.group(0)), stream)
-        stream = _ODD_NUMBER.sub(lambda m: "1" if m.group(0) == "l" else "0", stream)
-        words = []
-        for word in stream.split(" "):
-            parts = lexicon.split(word)
-            # a neighbour that makes a known word with the one before, when neither is one, is merged
-            if words and word.isalpha() and words[-1].isalpha() and not lexicon.known(word) and not lexicon.known(words[-1]) and lexicon.known(words[-1] + word):
-                words[-1] += word
-            else:
-                words += parts or [word]
-        out.append(" ".join(words))
+        stream = decoded(stream, lexicon)[0]
+        out.append(_ODD_NUMBER.sub(lambda m: "1" if m.group(0) == "l" else "0", stream))
     return out
 
 

@@ -365,3 +365,12 @@ def test_rare_words_keep_their_count_in_a_large_corpus(spark):
     words, total, keys, counts = scans.corpus_counts(items)
     assert total > 3_500_000 and words["modem"] == 4 and words["modern"] == 30
     assert scans.Lexicon(words, total).misread("modem") is None
+
+
+def test_readings_compete_on_one_path():
+    words = {"department": 500, "depart": 100, "management": 400, "manage": 200, "of": 9000, "the": 9000, "long": 300, "term": 300, "information": 300}
+    lexicon = scans.Lexicon(words, 100_000)
+    assert scans.decoded("the clepart ment of", lexicon) == ("the department of", {"merge", "ocr_char"})
+    assert scans.decoded("the depart ment ofmanagement", lexicon) == ("the department of management", {"merge", "split"})
+    assert scans.decoded(scans.join_lines(["the inforrna-", "tion of"]), lexicon) == ("the information of", {"hyphen", "ocr_char"})
+    assert scans.decoded(scans.join_lines(["the long-", "term man-", "age-", "ment"]), lexicon) == ("the long-term management", {"hyphen"})
