@@ -139,3 +139,12 @@ def test_alignment():
     untyped = [a | {"table": False} for a in anchors[:1]] + [{"norm": "table", "table": False, "page": 1, "yf0": 0.3, "yf1": 0.4}, {"norm": "data", "table": False, "page": 1, "yf0": 0.4, "yf1": 0.5}]
     assert align.align(blocks[:2], untyped)[1] == {"page": 1, "yf0": 0.3, "yf1": 0.5}
     assert align.align(blocks, []) == [None] * 4
+
+
+def test_alignment_sees_whole_blocks(spark, tmp_path):
+    from tallyweave.plans import pages
+
+    long = "| " + " | ".join(f"cell {i}" for i in range(60)) + " | closing balance of the year |"
+    spark.createDataFrame([(1, 1, 1, [long])], "doc_id bigint, node_no int, node_key bigint, body array<string>").write.parquet(str(tmp_path / "outline_nodes.parquet"))
+    spark.createDataFrame([(1, 7, 3, "closing balance of the year")], "doc_id bigint, chunk_key bigint, page_start int, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    assert [(r.page, r.yf0) for r in pages.align_blocks(spark, str(tmp_path)).collect()] == [(3, 7.0)]
