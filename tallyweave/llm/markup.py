@@ -303,13 +303,12 @@ def clean_reports(df: DataFrame, span: int = 12, min_pages: int = 3) -> DataFram
     """Rows (chunk_key, section_path, text): converted, and without the boilerplate of the report's pages.
 
     Pages are the distinct chunk_id of a doc_id, so a chunk that was delivered
-    twice isn't boilerplate. Equal texts of a page are handled once, and a report
-    in blocks of 64 pages, so neither its length nor repeated rows decide a
-    task's size. Rows without a doc_id are converted only.
+    twice isn't boilerplate. Equal texts of a page are handled once, so repeated
+    rows don't decide a task's size; a report is handled whole, so its distinct
+    pages do. Rows without a doc_id are converted only.
     """
     clean = convert_markup(df, keep=("doc_id", "chunk_id")).withColumn("chunk_id", F.coalesce("chunk_id", F.lit("")))
-    number = F.coalesce(F.expr("try_cast(regexp_extract(chunk_id, '([0-9]+)$', 1) as int)"), F.lit(0))
-    block = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("chunk_key"), F.lit(1024))).otherwise(F.floor(number / 64)).cast("int")
+    block = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("chunk_key"), F.lit(1024))).otherwise(0).cast("int")
     rows = clean.select("chunk_key", "doc_id", "chunk_id", block.alias("block"), "section_path", "text", F.xxhash64("text").alias("_hash"))
     page = ["doc_id", "block", "chunk_id", "_hash"]
     pages = rows.groupBy(*page).agg(F.any_value("text").alias("text"))

@@ -374,3 +374,11 @@ def test_readings_compete_on_one_path():
     assert scans.decoded("the depart ment ofmanagement", lexicon) == ("the department of management", {"merge", "split"})
     assert scans.decoded(scans.join_lines(["the inforrna-", "tion of"]), lexicon) == ("the information of", {"hyphen", "ocr_char"})
     assert scans.decoded(scans.join_lines(["the long-", "term man-", "age-", "ment"]), lexicon) == ("the long-term management", {"hyphen"})
+
+
+def test_boilerplate_of_a_long_report(spark):
+    notice = "This notice of the registrar holds for every page of the report and may not be copied."
+    rows = [(i, 1, f"c{i:04d}", f"Own text {i}" + (f"\n{notice}" if i in (10, 80, 150) else ""), None) for i in range(1, 201)]
+    frame = spark.createDataFrame(rows, "chunk_key bigint, doc_id bigint, chunk_id string, text string, section_path array<string>")
+    got = {r.chunk_key: r.text for r in markup.clean_reports(frame).collect()}
+    assert got[10].endswith(notice) and got[80] == "Own text 80" and got[150] == "Own text 150" and len(got) == 200
