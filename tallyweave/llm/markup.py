@@ -6,8 +6,8 @@ between fences and formulas between dollar signs; everything else of the markup
 goes. The kinds that it met come out with the text.
 
 Afterwards a suffix array over the token streams of a report's pages finds long
-runs repeated on several distinct pages; the lines they cover are boilerplate,
-which stays once. A suffix array tells repeated text only, not markup, so it
+runs repeated on several distinct pages; what they cover is boilerplate, which
+stays once. A suffix array tells repeated text only, not markup, so it
 can't name kinds of residue: those come from the converter.
 """
 
@@ -240,23 +240,45 @@ _TOKEN = re.compile(r"[A-Za-zÀ-ɏ]+|\d+|[^\sA-Za-zÀ-ɏ\d]")
 
 
 def without_boilerplate(texts: list[str | None], page_of: list, span: int = 12, min_pages: int = 3) -> list[str | None]:
-    """Texts without the lines that repeat on distinct pages; structure lines and all first copies stay."""
+    """Texts without the runs that repeat on distinct pages; all first copies stay.
+
+    A line that runs cover goes, whatever its length; one with a rest of its own
+    stays whole, as clauses repeat inside sentences too. Code between fences goes
+    whole or not at all.
+    """
     known: dict = {}
-    tokens, pages, lines = [], [], []  # lines: (text, line, first token, last token)
+    tokens, pages = [], []
+    lines: list[list[tuple[str, int, int]]] = []  # by text: (line, first token, number of tokens)
     page_ids = {p: i for i, p in enumerate(dict.fromkeys(page_of))}
     for t, text in enumerate(texts):
-        for i, line in enumerate((text or "").split("\n")):
+        lines.append([])
+        for line in (text or "").split("\n"):
             found = _TOKEN.findall(line)
-            lines.append((t, i, len(tokens), len(tokens) + len(found)))
+            lines[t].append((line, len(tokens), len(found)))
             tokens += [known.setdefault(x, len(known)) for x in found]
             pages += [page_ids[page_of[t]]] * len(found)
     if len(page_ids) < min_pages or not tokens:
         return texts
-    covered = np.r_[0, np.cumsum(repeated(np.array(tokens), np.array(pages), span, min_pages))]
-    drop = {(t, i) for t, i, a, b in lines if b - a >= span and covered[b] - covered[a] == b - a}
-    if not drop:
+    covered = repeated(np.array(tokens), np.array(pages), span, min_pages)
+    if not covered.any():
         return texts
-    return [x if x is None else "\n".join(line for i, line in enumerate(x.split("\n")) if (t, i) not in drop) for t, x in enumerate(texts)]
+    return [x if x is None else "\n".join(_uncovered(own, covered)) for x, own in zip(texts, lines)]
+
+
+def _uncovered(lines: list[tuple[str, int, int]], covered: np.ndarray) -> Iterator[str]:
+    """The lines of a text without what is covered."""
+    at = 0
+    while at < len(lines):
+        fence = re.match(r"[ \t]*(```|~~~)", lines[at][0])
+        end = at + 1
+        if fence:
+            closing = (i for i in range(end, len(lines)) if lines[i][0].strip().startswith(fence.group(1)))
+            end = next(closing, at) + 1
+        first, n = lines[at][1], sum(count for _, _, count in lines[at:end])
+        marks = covered[first : first + n]
+        if not n or not marks.all():
+            yield from (line for line, _, _ in lines[at:end])
+        at = end
 
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}

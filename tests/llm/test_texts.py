@@ -382,3 +382,11 @@ def test_boilerplate_of_a_long_report(spark):
     frame = spark.createDataFrame(rows, "chunk_key bigint, doc_id bigint, chunk_id string, text string, section_path array<string>")
     got = {r.chunk_key: r.text for r in markup.clean_reports(frame).collect()}
     assert got[10].endswith(notice) and got[80] == "Own text 80" and got[150] == "Own text 150" and len(got) == 200
+
+
+def test_boilerplate_goes_by_runs():
+    run = "All rights reserved\nby the registrar of\nthe company and its agents\nin every country"
+    texts = [f"own {i}\n{run}\n| own | {i} |" for i in "abcd"]
+    assert markup.without_boilerplate(texts, [1, 2, 3, 4]) == [texts[0], *[f"own {i}\n| own | {i} |" for i in "bcd"]]
+    code = [f"own {i}\n```\n{run}\nx = {i}\n```" for i in "abcd"]
+    assert markup.without_boilerplate(code, [1, 2, 3, 4]) == code
