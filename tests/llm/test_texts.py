@@ -360,10 +360,10 @@ def test_long_placeholder(models):
 
 def test_rare_words_keep_their_count_in_a_large_corpus(spark):
     """A word seen often enough against its look-alike stands, however large the rest is."""
-    rows = [(i, "filler words " * 60_000) for i in range(30)] + [(100, "modern " * 30), (101, "modem " * 3), (102, "modem"), (103, "人口 " * 3)]
+    rows = [(i, "filler words " * 60_000) for i in range(30)] + [(100, "modern " * 30), (101, "modem " * 2), (102, "modem")]
     items = scans.items_of(spark.createDataFrame(rows, "chunk_key bigint, text string"), spark.createDataFrame([], "node_key bigint, body array<string>"))
     words, total, keys, counts = scans.corpus_counts(items)
-    assert total > 3_500_000 and words["modem"] == 4 and words["modern"] == 30
+    assert total > 3_500_000 and words["modem"] == 3 and words["modern"] == 30
     assert scans.Lexicon(words, total).misread("modem") is None
 
 
