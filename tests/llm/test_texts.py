@@ -319,6 +319,19 @@ def test_no_residue(text, models):
     assert residue.residue_of(text, models) == []
 
 
+def test_thresholds_hold_on_held_out_sentences():
+    label, mean, covered = residue.held_out()
+    least, share = residue.thresholds()
+    called = (mean >= least) & (covered >= share)
+    assert (called & ~label).sum() <= residue.FALSE_ALARMS * (~label).sum() and (called & label).sum() >= 0.4 * label.sum()
+
+
+def test_texts_are_judged_alone(models):
+    """What stands before or behind a text in its batch changes nothing."""
+    texts = ["404 Not Found", PROSE, "", "Please enable JavaScript to view this page.", "{{a}}"] * 3
+    assert residue.find(texts, models) == [residue.residue_of(t, models) for t in texts]
+
+
 def test_residue_of_odd_tables(spark, data):
     documents = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "404 Not Found"), (-3, "404 Not Found"), (-4, "x" * 200_000)], "doc_id bigint, text string")
