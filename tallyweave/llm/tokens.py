@@ -1,16 +1,20 @@
 """Problem 7: encode a corpus with a public byte-level BPE vocabulary.
 
 The encoder is a streaming transducer. A text is cut by the vocabulary's
-pattern, and each part is read byte by byte. From the vocabulary two bounds of
-lookahead are computed:
-
-* no token holds certain pairs of neighbouring bytes, so no merge ever crosses
-  such a pair: a token that ends there is final after one byte of lookahead;
-* elsewhere a later byte can change only tokens that begin within the longest
-  token's length of it. The transducer keeps, for every position in that reach,
-  the last token of the encoding up to there, and emits what all of these share.
-
-Both are exact, so the memory for one part is constant however long it is.
+pattern, and each part is read byte by byte. What lookahead suffices follows from
+the tokens that the merges make, kept as a trie:
+
+* the encoding of a prefix ends with the longest token that ends there and stays
+  apart from the token before it, so one pass finds the last token of every
+  prefix;
+* a byte still to come can change only what lies behind the begin of a token that
+  it may extend, that is of a read suffix that is a proper prefix of a token. A
+  token on the paths to all of these is final and is emitted;
+* no token holds certain pairs of neighbouring bytes: there one byte of lookahead
+  is enough, and the segments between such pairs are encoded each on their own.
+
+All of it is exact. No suffix is longer than the longest token, so the memory for
+one part is constant however long it is.
 """
 
 from __future__ import annotations
@@ -34,8 +38,12 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that cuts a text into parts, as the vocabulary's publisher states it.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: A part longer than this goes through the windowed transducer.
-WINDOW = 512
+#: Bytes after which the transducer looks for final tokens.
+BLOCK = 64
+#: Longest part or segment, in characters or bytes, that a memo keeps.
+MEMO_LENGTH = 512
+#: Key of a trie's node under which the rank of the token that ends there stands; no byte.
+END = -1
 #: Entries of a worker's memo of encoded parts; when it is full it starts anew.
 MEMO = 400_000
 
@@ -55,6 +63,13 @@ class Vocabulary:
                 self.crossed[left, right] = True
         self._rows = [bytes(row) for row in self.crossed.astype(np.uint8)]
         self._fits: dict[tuple[int, int], bool] = {}
+        self._segments: dict[bytes, list[int]] = {}
+        self.trie: dict = {}
+        for token, rank in self.ranks.items():
+            node = self.trie
+            for byte in token:
+                node = node.setdefault(byte, {})
+            node[END] = rank
 
     def merge(self, part: bytes) -> list[int]:
         """Merge pairs of lowest rank first until none is left."""
@@ -96,10 +111,14 @@ class Vocabulary:
     def encode_part(self, part: bytes) -> list[int]:
         out: list[int] = []
         for segment in self.segments(part):
-            if len(segment) <= WINDOW:
-                out += self.merge(segment)
-            else:
-                out += Transducer(self).run([segment])
+            ids = self._segments.get(segment)
+            if ids is None:
+                ids = list(Transducer(self).run([segment]))
+                if len(segment) <= MEMO_LENGTH:
+                    if len(self._segments) >= MEMO:
+                        self._segments.clear()
+                    self._segments[segment] = ids
+            out += ids
         return out
 
 
@@ -108,23 +127,27 @@ class Transducer:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.buffer = bytearray()
-        self.last = [-1]  # token that ends at each position of the buffer
-        self.widest = 0  # most bytes held at once, for tests
+        self.last = [-1]  # token that ends at each position since the origin
+        self.open: list[tuple[int, dict]] = []  # (begin, trie node) of the read suffixes that a token may go on from
+        self.held = -1  # a final token that isn't emitted yet: what follows the origin has to stay apart from it
+        self.widest = 0  # most positions held at once, for tests
 
-    def _step(self) -> None:
+    def _read(self, byte: int) -> None:
         v, end = self.vocabulary, len(self.last)
-        for length in range(min(end, v.reach), 0, -1):
-            token = v.ranks.get(bytes(self.buffer[end - length : end]))
+        self.open.append((end - 1, v.trie))
+        self.open = [(begin, node[byte]) for begin, node in self.open if byte in node]
+        for begin, node in self.open:  # longest suffix first
+            token = node.get(END)
             if token is None:
                 continue
-            before = self.last[end - length]
-            if before == -1 and end - length > 0:
-                continue
-            if before == -1 or v.fits(before, token):
+            before = self.last[begin] if begin else self.held
+            if (before >= 0 or not begin) and (before < 0 or v.fits(before, token)):
                 self.last.append(token)
-                return
-        raise ValueError("the vocabulary lacks a byte")
+                break
+        else:
+            raise ValueError("the vocabulary lacks a byte")
+        # a token without longer ones is no suffix to go on from
+        self.open = [(begin, node) for begin, node in self.open if len(node) > (END in node)]
 
     def _chain(self, at: int) -> list[int]:
         ends = []
@@ -133,38 +156,36 @@ class Transducer:
             at -= len(self.vocabulary.tokens[self.last[at]])
         return ends[::-1]
 
-    def _stable(self) -> list[int]:
-        """Ends of the tokens shared by every position that a later token may start from."""
-        end = len(self.buffer)
-        shared: set[int] | None = None
-        for at in range(max(0, end - self.vocabulary.reach + 1), end + 1):
-            ends = set(self._chain(at))
-            shared = ends if shared is None else shared & ends
-        return sorted(shared or ())
+    def _emit(self) -> Iterator[int]:
+        """The tokens on the paths to the end and to the begin of every open suffix."""
+        shared = set(self._chain(len(self.last) - 1))
+        for begin, _ in self.open:
+            shared &= set(self._chain(begin))
+        if not shared:
+            return
+        ends = sorted(shared)
+        if self.held >= 0:
+            yield self.held
+        for at in ends[:-1]:
+            yield self.last[at]
+        cut = ends[-1]
+        self.held = self.last[cut]
+        self.last = [-1] + self.last[cut + 1 :]
+        self.open = [(begin - cut, node) for begin, node in self.open]
 
-    def run(self, blocks: Iterable[bytes], every: int = WINDOW) -> Iterator[int]:
+    def run(self, blocks: Iterable[bytes]) -> Iterator[int]:
         for block in blocks:
             for byte in block:
-                self.buffer.append(byte)
-                self._step()
-                self.widest = max(self.widest, len(self.buffer))
-                if len(self.buffer) >= every + 2 * self.vocabulary.reach and len(self.buffer) % every == 0:
-                    ends = self._stable()
-                    if len(ends) > 1:  # the last shared token stays as the left context
-                        for at in ends[:-1]:
-                            yield self.last[at]
-                        cut = ends[-2]
-                        self.buffer = self.buffer[cut:]
-                        self.last = [-1] + self.last[cut + 1 :]
-                        self._forget(ends[-1] - cut)
-        for at in self._chain(len(self.buffer)):
+                self._read(byte)
+                if len(self.last) > self.widest:
+                    self.widest = len(self.last)
+                if len(self.last) % BLOCK == 0:
+                    yield from self._emit()
+        if self.held >= 0:
+            yield self.held
+        for at in self._chain(len(self.last) - 1):
             yield self.last[at]
 
-    def _forget(self, context: int) -> None:
-        """Positions inside the context token have no encoding that starts at the new origin."""
-        for at in range(1, context):
-            self.last[at] = -1
-
 
 @lru_cache(maxsize=4)
 def vocabulary(directory: str, name: str) -> Vocabulary:
@@ -180,7 +201,7 @@ class Encoder(dict):
 
     def __missing__(self, part: str) -> bytes:
         ids = np.array(self.vocabulary.encode_part(part.encode()), dtype=np.int32).tobytes()
-        if len(part) <= WINDOW:
+        if len(part) <= MEMO_LENGTH:
             if len(self) >= MEMO:
                 self.clear()
             self[part] = ids
