@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_texts
+from .spans import enclosed
 
 #: n-grams in a language's profile, and the distance of one that isn't in it.
 PROFILE = 800
@@ -191,11 +192,18 @@ def profiles() -> tuple[np.ndarray, ...]:
 _FENCED = re.compile(r"^[ \t]*```[^\n]*\n.*?(?:^[ \t]*```[ \t]*$|\Z)", re.M | re.S)
 _NOT_PROSE = re.compile(
     r"^[ \t>]*(?:#|\||\{\||!|={2,}|```)[^\n]*$|^[ \t]*(?:SELECT|FROM|WHERE|GROUP BY|ORDER BY|def |for \w+ in |return |import |assert |[\w\[\]]+ \+?= |\{\"|\w+\()[^\n]*$"
-    r"|\\(?:sub)*section\*?\{[^{}\n]*\}|\$[^$\n]{0,120}\\[^$\n]{0,200}\$|\\\(.{0,200}?\\\)|\\\[.{0,300}?\\\]|\\begin\{tabular\}.{0,5000}?\\end\{tabular\}|\\[A-Za-z]+"
-    r"|<table\b.{0,20000}?</table>|<h[1-6]\b[^<>]{0,100}>.{0,300}?</h[1-6]>|<li\b[^<>]{0,100}>.{0,500}?</li>|<!--.{0,300}?-->|</?[A-Za-z][^<>\n]{0,200}>|\{\{[^{}\n]*\}\}|\[\[[^\[\]\n]*\]\]|\]\([^()\s]*\)|`[^`\n]*`|https?://\S+"
+    r"|\\(?:sub)*section\*?\{[^{}\n]*\}|\$[^$\n\\]*\\[^$\n]*\$|\\[A-Za-z]+|</?[A-Za-z][^<>\n]*>|\{\{[^{}\n]*\}\}|\[\[[^\[\]\n]*\]\]|\]\([^()\s]*\)|`[^`\n]*`|https?://\S+"
     r"|^[ \t]*(?:[-•*+]|\d{1,3}[.)]) ",
-    re.M | re.S,
+    re.M,
 )
+#: (opener, closer, whether a blank line ends the search) of what is no prose as a whole.
+_ENCLOSED = [
+    (re.compile(opener), re.compile(closer), near)
+    for opener, closer, near in (
+        (r"<!--", r"-->", False), (r"<table\b", r"</table>", False), (r"<h[1-6]\b[^<>]*>", r"</h[1-6]>", True), (r"<li\b[^<>]*>", r"</li>", True),
+        (r"\\begin\{tabular\}", r"\\end\{tabular\}", False), (r"\\\(", r"\\\)", True), (r"\\\[", r"\\\]", True),
+    )
+]
 _BREAK = "\x01"
 _SUSPECT = re.compile(r"[#|<`{\\\[$=!>]|^[ \t]*(?:[-•*+]|\d{1,3}[.)]) |^[ \t]*(?:SELECT|FROM|WHERE|GROUP|ORDER|def|for|return|import|assert|total|rows)\b", re.M)
 
@@ -209,6 +217,13 @@ def prose(text: str) -> str:
     if "```" in text:
         text = _FENCED.sub(_blank, text)
     if _SUSPECT.search(text):
+        if "<" in text or "\\" in text:
+            for kind in _ENCLOSED:
+                out, end = [], 0
+                for a, b in enclosed(text, *kind):
+                    out += (text[end:a], _BREAK * (b - a))
+                    end = b
+                text = "".join([*out, text[end:]]) if out else text
         text = _NOT_PROSE.sub(_blank, text)
     return text
 
@@ -219,21 +234,25 @@ _LOOSE = np.array([ord(c) for c in ".!?"], dtype=np.uint32)
 _WHITE = np.array([1, 9, 10, 13, 32, 34, 0x201D, 0x300D], dtype=np.uint32)
 
 
-#: Characters whose sentences are ranked together; bounds the arrays of a task.
+#: Characters whose sentences are ranked together; bounds the arrays of a task, but for a longer sentence.
 TOGETHER = 300_000
+_CUT = re.compile(r"[\x01。！？｡]|[.!?](?=[\s\x01])|\n\n")
 
 
 def sentence_languages(texts: list[str]) -> list[tuple[int, int, int, str, float]]:
-    """(text number, begin, end, language, confidence) of every sentence that counts."""
-    out: list[tuple[int, int, int, str, float]] = []
+    """(text number, begin, end, language, confidence) of every sentence that counts; a text's rows depend on that text only."""
+    found: list[tuple[np.ndarray, ...]] = []
     parts: list[tuple[int, int, str]] = []  # (text number, offset, part)
     size = 0
 
     def flush() -> None:
-        out.extend((parts[p][0], parts[p][1] + begin, parts[p][1] + end, lang, sure) for p, begin, end, lang, sure in _ranked([part for *_, part in parts]))
+        told = _ranked([part for *_, part in parts])
+        if told:
+            number, offset = (np.array([p[k] for p in parts])[told[0]] for k in (0, 1))
+            found.append((number, told[1] + offset, told[2] + offset, *told[3:]))
 
     for number, text in enumerate(texts):
-        for offset, part in _parts(text):
+        for offset, part in _parts(prose(text)):
             if size and size + len(part) > TOGETHER:
                 flush()
                 parts, size = [], 0
@@ -241,17 +260,22 @@ def sentence_languages(texts: list[str]) -> list[tuple[int, int, int, str, float
             size += len(part)
     if parts:
         flush()
-    return out
+    if not found:
+        return []
+    text_of, a, b, best, sure, close, letters, counts = (np.concatenate(c) for c in zip(*found))
+    best = _settled(best, sure, close, letters, text_of, len(texts))
+    return [(int(text_of[i]), int(a[i]), int(b[i]), LANGUAGES[best[i]], float(sure[i])) for i in np.flatnonzero(counts)]
 
 
 def _parts(text: str) -> Iterator[tuple[int, str]]:
-    """(offset, part) of a text; only one longer than TOGETHER has several, cut after a line or sentence."""
+    """(offset, part) of a text; only one longer than TOGETHER has several, each cut where a sentence ends."""
     begin = 0
     while len(text) - begin > TOGETHER:
-        cut = max(text.rfind(mark, begin, begin + TOGETHER) + len(mark) for mark in ("\n", "。", ". "))
-        cut = cut if cut > begin + TOGETHER // 2 else begin + TOGETHER
-        yield begin, text[begin:cut]
-        begin = cut
+        m = _CUT.search(text, begin + TOGETHER - 1)
+        if not m or m.end() >= len(text):
+            break
+        yield begin, text[begin : m.end()]
+        begin = m.end()
     yield begin, text[begin:]
 
 
@@ -272,20 +296,19 @@ def _grams(symbols: np.ndarray, kept: np.ndarray, owner: np.ndarray) -> tuple[np
     return who[known], index[known]
 
 
-def _settle(best: np.ndarray, sure: np.ndarray, distance: np.ndarray, letters: np.ndarray, text_of: np.ndarray) -> None:
-    """Between languages that are hardly apart, the one that the text's clear sentences are in is taken."""
-    for i in np.flatnonzero(sure < UNSURE):
-        around = np.flatnonzero((text_of == text_of[i]) & (sure >= UNSURE)) if len(text_of) < 1000 else np.arange(max(0, i - 200), min(len(text_of), i + 200))
-        around = around[(text_of[around] == text_of[i]) & (sure[around] >= UNSURE)]
-        close = distance[i] * (1 - UNSURE) <= distance[i].min()
-        weight = np.bincount(best[around], weights=letters[around], minlength=len(LANGUAGES)) * close
-        if weight.any():
-            best[i] = int(weight.argmax())
+def _settled(best: np.ndarray, sure: np.ndarray, close: np.ndarray, letters: np.ndarray, text_of: np.ndarray, texts: int) -> np.ndarray:
+    """Between languages that are hardly apart, the one that most of the text's clear sentences are in is taken."""
+    clear = sure >= UNSURE
+    weight = np.zeros((texts, len(LANGUAGES)))
+    np.add.at(weight, (text_of[clear], best[clear]), letters[clear])
+    mine = weight[text_of] * close
+    return np.where(~clear & (mine.max(axis=1) > 0), mine.argmax(axis=1), best)
 
 
-def _ranked(texts: list[str]) -> list[tuple[int, int, int, str, float]]:
+def _ranked(texts: list[str]) -> tuple[np.ndarray, ...] | None:
+    """Of every sentence: text number, begin, end, nearest language, how much nearer than the next, which languages are as near, letters, whether it counts."""
     ones, twos, threes, ranks, weights, threes_of = profiles()
-    joined = _BREAK + _BREAK.join(map(prose, texts)) + _BREAK
+    joined = _BREAK + _BREAK.join(texts) + _BREAK
     codes = _codes(joined)
     starts_of = np.cumsum([1, *(len(t) + 1 for t in texts)])
     symbols = _symbols()[codes]
@@ -302,7 +325,7 @@ def _ranked(texts: list[str]) -> list[tuple[int, int, int, str, float]]:
     counted = (letters >= LEAST_LETTERS) & ended[end - 1]
     total = int(counted.sum())
     if not total:
-        return []
+        return None
     a, b = begin[counted], end[counted]
     lengths = end - begin
     kept = np.repeat(counted, lengths)
@@ -342,12 +365,9 @@ def _ranked(texts: list[str]) -> list[tuple[int, int, int, str, float]]:
     two = np.partition(distance, 1, axis=1)[:, :2]
     sure = np.where(two[:, 1] > 0, 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9), 0.0)
     text_of = np.searchsorted(starts_of, a, side="right") - 1
-    _settle(best, sure, distance, letters[counted], text_of)
-    rows = []
-    for i in np.flatnonzero(known >= LEAST_KNOWN):
-        t = int(text_of[i])
-        rows.append((t, int(a[i] - starts_of[t]), int(min(b[i] - starts_of[t], len(texts[t]))), LANGUAGES[best[i]], float(sure[i])))
-    return rows
+    close = distance * (1 - UNSURE) <= distance.min(axis=1, keepdims=True)
+    ends = np.minimum(b - starts_of[text_of], np.array([len(t) for t in texts])[text_of])
+    return text_of, a - starts_of[text_of], ends, best, sure, close, letters[counted], known >= LEAST_KNOWN
 
 
 def segments(df: DataFrame, key: str = "chunk_key", text: str = "text", keep: str | None = None) -> DataFrame:

@@ -58,13 +58,45 @@ def tables() -> tuple[str, str, list[tuple[str, str]]]:
     return "".join(source), "".join(target), several
 
 
+@cache
+def composing() -> str:
+    """The characters that composition may change, as ranges of a regular expression, by the Unicode rule.
+
+    These are the marks that are reordered, the second halves of composed
+    characters, the letters that hangul syllables are made of, and those that
+    have another canonical form.
+    """
+    codes = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+    for code in range(0x80, 0x110000):
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
+            continue
+        c = chr(code)
+        if unicodedata.combining(c):
+            codes.add(code)
+            continue
+        parts = unicodedata.decomposition(c)
+        if parts and parts[0] != "<":
+            pair = parts.split()
+            if len(pair) == 2:
+                codes.add(int(pair[1], 16))
+            if unicodedata.normalize("NFC", c) != c:
+                codes.add(code)
+    out, ordered = [], sorted(codes)
+    for code in ordered:
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
+
+
 def _connect() -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
     source, target, several = tables()
     connection.execute("CREATE TABLE forms (source VARCHAR, target VARCHAR)")
     connection.execute("INSERT INTO forms VALUES (?, ?)", [source, target])
     # the characters of a text that need work at all are found by one regular expression
-    odd = "[" + INVISIBLE[1:-1] + SPACES[1:-1] + "".join(f"\\x{{{ord(c):X}}}" for c in dict.fromkeys(source + "".join(f for f, _ in several))) + "\\x{0300}-\\x{036F}\\x{3099}\\x{309A}]"
+    odd = "[" + INVISIBLE[1:-1] + SPACES[1:-1] + "".join(f"\\x{{{ord(c):X}}}" for c in dict.fromkeys(source + "".join(f for f, _ in several))) + composing() + "]"
     replaced = "x"
     for form, letters in several:
         replaced = f"replace({replaced}, '{form}', '{letters}')"

@@ -20,10 +20,12 @@ from html.entities import html5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_texts
+from .spans import enclosed, replaced
 
 KINDS = ("html", "markdown", "wiki", "latex")
 # Names of HTML elements.
@@ -47,7 +49,7 @@ _ANY = re.compile(r"[`~<\\]|&[#\w]|\*\S|_\S|\]\(|\[\^|^[ \t]*>|''|\[\[|\{\{|^[ \
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n]*\n(?P<body>.*?)^[ \t]*\1[ \t]*$", re.M | re.S)
 _HTML = re.compile(rf"</?(?:{_TAG})(?:\s[^<>]*|/)?>|</(?:{_TAG})\b|<(?:{_TAG})\s+[a-z]+=|<!--|<!doctype|<\?xml|&(?P<entity>[A-Za-z][A-Za-z0-9]{{1,30}}|#\d{{1,7}}|#[xX][0-9a-fA-F]{{1,6}});", re.I)
 _MARKDOWN = re.compile(
-    r"```|`[^`\n]+`|\*\*(?=\S)[^*\n]+\*\*|(?<!\w)__(?=[^\s_])[^\n]{0,200}?[^\s_]__(?!\w)|~~(?=\S)[^~\n]+~~|!?\[[^\[\]\n]*\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\)"
+    r"```|`[^`\n]+`|\*\*(?=\S)[^*\n]+\*\*|(?<!\w)__(?=[^\s_])[^\n]*?[^\s_]__(?!\w)|~~(?=\S)[^~\n]+~~|!?\[[^\[\]\n]*\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\)"
     r"|^[ \t]*>[ \t]?(?=\S)|\[\^[\w-]{1,12}\]|(?<![\w*\\])\*(?=[^\s*])[^*\n]*?[^\s*]\*(?![\w*])|(?<![\w*\\])\*[^\s*]\*(?![\w*])|(?<![\w\\])_(?=[^\s_])[^_\n]*[^\s_]_(?!\w)",
     re.M,
 )
@@ -56,11 +58,15 @@ _WIKI = re.compile(
     re.M,
 )
 _LATEX = re.compile(
-    rf"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{{|\\(?:{_COMMAND})(?![A-Za-z])|\\begin\b|\\end\b|\\\(.{{1,400}}?\\\)|\\\[.{{1,800}}?\\\]|(?<=\d)\\%|\$\$[^$\n]+\$\$"
-    r"|(?<![\w$])\$(?=[^\s$])[^$\n぀-鿿]{0,120}?(?:[_^]\{|\\[A-Za-z]+|[A-Za-z)][_^][A-Za-z0-9])[^$\n぀-鿿]{0,120}?\$(?!\d)",
+    rf"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{{|\\(?:{_COMMAND})(?![A-Za-z])|\\begin\b|\\end\b|(?<=\d)\\%|\$\$[^$\n]+\$\$"
+    r"|(?<![\w$])\$(?=[^\s$])[^$\n぀-鿿]*?(?:[_^]\{|\\[A-Za-z]+|[A-Za-z)][_^][A-Za-z0-9])[^$\n぀-鿿]*?\$(?!\d)",
     re.S,
 )
 _CODE = re.compile(r"`[^`\n]+`")
+#: Formulas set off by brackets; they don't run over a blank line.
+_FORMULAS = [(re.compile(r"\\\("), re.compile(r"\\\)"), "$"), (re.compile(r"\\\["), re.compile(r"\\\]"), "$$")]
+_COMMENT = re.compile("<!--"), re.compile("-->")
+_WIKI_TABLE = re.compile(r"^[ \t]*\{\|", re.M), re.compile(r"^[ \t]*\|\}[ \t]*$", re.M)
 
 
 def _is_html(m: re.Match) -> bool:
@@ -81,7 +87,7 @@ def kinds(text: str | None) -> set[str]:
     if _WIKI.search(bare):
         found.add("wiki")
     if "\\" in bare or "$" in bare:
-        if _LATEX.search(bare):
+        if _LATEX.search(bare) or any(b - a > 4 for opener, closer, _ in _FORMULAS for a, b in enclosed(bare, opener, closer, near=True)):
             found.add("latex")
     return found
 
@@ -90,7 +96,7 @@ def kinds(text: str | None) -> set[str]:
 
 
 def _rows(cells: Iterator[list[str]]) -> str:
-    rows = [[re.sub(r"\s+", " ", c).strip().replace("|", "¦") for c in row] for row in cells]
+    rows = [[re.sub(r"\s+", " ", c).strip().replace("|", r"\|") for c in row] for row in cells]
     rows = [r for r in rows if any(r)]
     width = max(map(len, rows), default=0)
     lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
@@ -105,7 +111,8 @@ def _html_table(m: re.Match) -> str:
 
 
 def _from_html(text: str) -> str:
-    text = re.sub(r"<!--.*?(?:-->|$)", "", text, flags=re.S)
+    # of a comment that nothing closes only the mark goes: what follows may be content
+    text = replaced(text, *_COMMENT, lambda comment: "").replace("<!--", "")
     text = re.sub(r"<(script|style)\b.*?</\1\s*>", "", text, flags=re.S | re.I)
     text = re.sub(r"<table\b.*?</table\s*>", _html_table, text, flags=re.S | re.I)
     text = re.sub(r"<h([1-6])\b[^<>]*>\s*(.*?)\s*</h\1\s*>", lambda m: "\n" + "#" * int(m.group(1)) + " " + m.group(2) + "\n", text, flags=re.S | re.I)
@@ -117,9 +124,9 @@ def _from_html(text: str) -> str:
     return re.sub(r"&(#?\w{1,31});", lambda m: html.unescape(m.group(0)).replace("\xa0", " "), text)
 
 
-def _wiki_table(m: re.Match) -> str:
+def _wiki_table(table: str) -> str:
     rows: list[list[str]] = [[]]
-    for line in m.group(0).splitlines()[1:]:
+    for line in table.splitlines()[1:]:
         line = line.strip()
         if line.startswith("|-"):
             rows.append([])
@@ -130,7 +137,7 @@ def _wiki_table(m: re.Match) -> str:
 
 def _from_wiki(text: str) -> str:
     if "|}" in text:
-        text = re.sub(r"^[ \t]*\{\|.{0,20000}?^[ \t]*\|\}[ \t]*$", _wiki_table, text, flags=re.M | re.S)
+        text = replaced(text, *_WIKI_TABLE, _wiki_table)
     text = re.sub(r"^[ \t]*(={2,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$", lambda m: "#" * len(m.group(1)) + " " + m.group(2), text, flags=re.M)
     text = re.sub(r"\[\[(?:Category|File|Image|分类|文件)\s*:[^\[\]\n]*\]\]", "", text, flags=re.I)
     text = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]+)\]\]", r"\1", text)
@@ -147,8 +154,8 @@ def _latex_table(m: re.Match) -> str:
 
 def _from_latex(text: str) -> str:
     text = re.sub(r"\\begin\{(?:tabular|array|longtable)\*?\}(?:\{[^{}]*\})*(.*?)\\end\{(?:tabular|array|longtable)\*?\}", _latex_table, text, flags=re.S)
-    text = re.sub(r"\\\((.{1,400}?)\\\)", lambda m: "$" + m.group(1).strip() + "$", text, flags=re.S)
-    text = re.sub(r"\\\[(.{1,800}?)\\\]", lambda m: "$$" + m.group(1).strip() + "$$", text, flags=re.S)
+    for opener, closer, sign in _FORMULAS:
+        text = replaced(text, opener, closer, lambda formula: f"{sign}{formula[2:-2].strip()}{sign}" if len(formula) > 4 else formula, near=True)
     kept: list[str] = []
 
     def keep(m: re.Match) -> str:
@@ -172,7 +179,7 @@ def _from_markdown(text: str) -> str:
     text = re.sub(r"^[ \t]*\[\^[\w-]{1,12}\]:[ \t]*", "", text, flags=re.M)
     text = re.sub(r"\[\^[\w-]{1,12}\]", "", text)
     text = re.sub(r"^([ \t]*)>[ \t]?(?=\S)", r"\1", text, flags=re.M)
-    text = re.sub(r"\*\*(?=\S)([^*\n]+)\*\*|(?<!\w)__(?=[^\s_])([^\n]{0,200}?[^\s_])__(?!\w)|~~(?=\S)([^~\n]+)~~", lambda m: next(g for g in m.groups() if g is not None), text)
+    text = re.sub(r"\*\*(?=\S)([^*\n]+)\*\*|(?<!\w)__(?=[^\s_])([^\n]*?[^\s_])__(?!\w)|~~(?=\S)([^~\n]+)~~", lambda m: next(g for g in m.groups() if g is not None), text)
     text = re.sub(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*?[^\s*])\*(?![\w*])|(?<![\w\\])_(?=[^\s_])([^_\n]*[^\s_])_(?!\w)", lambda m: next(g for g in m.groups() if g is not None), text)
     return re.sub(r"`([^`\n]+)`", r"\1", text)
 
@@ -186,9 +193,21 @@ def convert(text: str | None) -> tuple[str | None, set[str]]:
     fences = list(_FENCE.finditer(text)) if "```" in text or "~~~" in text else []
     for m in [*fences, None]:
         part = text[at : m.start() if m else len(text)]
-        for kind, change in (("html", _from_html), ("wiki", _from_wiki), ("latex", _from_latex), ("markdown", _from_markdown)):
+        codes: list[str] = []
+        if "`" in part and found - {"markdown"}:  # code between ticks is no markup of the other languages
+
+            def hide(code: re.Match) -> str:
+                codes.append(code.group(0))
+                return f"\x01{len(codes) - 1}\x01"
+
+            part = _CODE.sub(hide, part)
+        for kind, change in (("html", _from_html), ("wiki", _from_wiki), ("latex", _from_latex)):
             if kind in found:
                 part = change(part)
+        if codes:
+            part = re.sub(r"\x01(\d+)\x01", lambda n: codes[int(n.group(1))] if int(n.group(1)) < len(codes) else n.group(0), part)
+        if "markdown" in found:
+            part = _from_markdown(part)
         out.append(part)
         if m:
             out.append(f"```\n{m.group('body')}```")
@@ -239,8 +258,8 @@ def repeated(tokens: np.ndarray, pages: np.ndarray, span: int, min_pages: int) -
 _TOKEN = re.compile(r"[A-Za-zÀ-ɏ]+|\d+|[^\sA-Za-zÀ-ɏ\d]")
 
 
-def without_boilerplate(texts: list[str | None], page_of: list, span: int = 12, min_pages: int = 3) -> list[str | None]:
-    """Texts without the runs that repeat on distinct pages; all first copies stay.
+def boilerplate_lines(texts: list[str | None], page_of: list, span: int = 12, min_pages: int = 3) -> list[list[int]]:
+    """Of each text the numbers of the lines that runs repeated on distinct pages cover; all first copies stay.
 
     A line that runs cover goes, whatever its length; one with a rest of its own
     stays whole, as clauses repeat inside sentences too. Code between fences goes
@@ -258,15 +277,22 @@ def without_boilerplate(texts: list[str | None], page_of: list, span: int = 12,
             tokens += [known.setdefault(x, len(known)) for x in found]
             pages += [page_ids[page_of[t]]] * len(found)
     if len(page_ids) < min_pages or not tokens:
-        return texts
+        return [[] for _ in texts]
     covered = repeated(np.array(tokens), np.array(pages), span, min_pages)
-    if not covered.any():
-        return texts
-    return [x if x is None else "\n".join(_uncovered(own, covered)) for x, own in zip(texts, lines)]
+    return [[] if x is None else list(_covered(own, covered)) for x, own in zip(texts, lines)] if covered.any() else [[] for _ in texts]
+
+
+def without_boilerplate(texts: list[str | None], page_of: list, span: int = 12, min_pages: int = 3) -> list[str | None]:
+    """Texts without these lines."""
+    out = []
+    for text, drop in zip(texts, boilerplate_lines(texts, page_of, span, min_pages)):
+        gone = set(drop)
+        out.append("\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone) if drop else text)
+    return out
 
 
-def _uncovered(lines: list[tuple[str, int, int]], covered: np.ndarray) -> Iterator[str]:
-    """The lines of a text without what is covered."""
+def _covered(lines: list[tuple[str, int, int]], covered: np.ndarray) -> Iterator[int]:
+    """Numbers of the lines of a text that are covered."""
     at = 0
     while at < len(lines):
         fence = re.match(r"[ \t]*(```|~~~)", lines[at][0])
@@ -276,8 +302,8 @@ def _uncovered(lines: list[tuple[str, int, int]], covered: np.ndarray) -> Iterat
             end = next(closing, at) + 1
         first, n = lines[at][1], sum(count for _, _, count in lines[at:end])
         marks = covered[first : first + n]
-        if not n or not marks.all():
-            yield from (line for line, _, _ in lines[at:end])
+        if n and marks.all():
+            yield from range(at, end)
         at = end
 
 
@@ -330,18 +356,18 @@ def clean_reports(df: DataFrame, span: int = 12, min_pages: int = 3) -> DataFram
     pages do. Rows without a doc_id are converted only.
     """
     clean = convert_markup(df, keep=("doc_id", "chunk_id")).withColumn("chunk_id", F.coalesce("chunk_id", F.lit("")))
-    block = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("chunk_key"), F.lit(1024))).otherwise(0).cast("int")
-    rows = clean.select("chunk_key", "doc_id", "chunk_id", block.alias("block"), "section_path", "text", F.xxhash64("text").alias("_hash"))
-    page = ["doc_id", "block", "chunk_id", "_hash"]
+    rows = clean.select("chunk_key", "doc_id", "chunk_id", "section_path", "text", F.xxhash64("text").alias("_hash"))
+    page = ["doc_id", "chunk_id", "_hash"]
     pages = rows.groupBy(*page).agg(F.any_value("text").alias("text"))
 
     def per_report(table: pa.Table) -> pa.Table:
         table = table.sort_by([("chunk_id", "ascending"), ("_hash", "ascending")])
-        texts = table.column("text").to_pylist()
-        if table.column("doc_id")[0].is_valid:
-            texts = without_boilerplate(texts, table.column("chunk_id").to_pylist(), span, min_pages)
-        return pa.table({**{c: table.column(c) for c in page}, "text": pa.array(texts, pa.string())})
-
-    done = pages.groupBy("doc_id", "block").applyInArrow(per_report, "doc_id bigint, block int, chunk_id string, _hash bigint, text string")
-    same = [rows[c].eqNullSafe(done[c]) for c in page]
-    return rows.join(done, same[0] & same[1] & same[2] & same[3]).select(rows["chunk_key"], rows["section_path"], done["text"])
+        drops = boilerplate_lines(table.column("text").to_pylist(), table.column("chunk_id").to_pylist(), span, min_pages)
+        table = table.drop_columns("text").append_column("drop", pa.array(drops, pa.list_(pa.int32())))
+        return table.filter(pc.greater(pc.list_value_length(table.column("drop")), 0))
+
+    # the numbers of the lines to drop travel back, of the texts that have some: most have none
+    found = pages.where(F.col("doc_id").isNotNull()).groupBy("doc_id").applyInArrow(per_report, "doc_id bigint, chunk_id string, _hash bigint, drop array<int>")
+    lines = F.split("text", "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("drop", i)), "\n")
+    return rows.join(found, page, "left").select("chunk_key", "section_path", F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text"))

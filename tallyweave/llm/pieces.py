@@ -46,7 +46,7 @@ def _line_levels(text: str) -> list[tuple[int, int]]:
             opens = (kind != kind_before and kind_before != "heading") or (blank and kind_before != "heading")
             # every plain line is a paragraph of its own unless its predecessor breaks off inside a sentence
             if kind == kind_before == "text" and not opens:
-                opens = bool(re.search(r"[。！？.!?:：；;]\s*$", text[:start][-8:]))
+                opens = bool(re.search(r"[。！？.!?:：；;]\s*$", text[max(0, start - 8) : start]))
         out.append((start, len(heading.group(1)) if heading else 7 if opens else 8))
         if bare:
             kind_before, blank = kind, False

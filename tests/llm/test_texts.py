@@ -403,3 +403,58 @@ def test_boilerplate_goes_by_runs():
     assert markup.without_boilerplate(texts, [1, 2, 3, 4]) == [texts[0], *[f"own {i}\n| own | {i} |" for i in "bcd"]]
     code = [f"own {i}\n```\n{run}\nx = {i}\n```" for i in "abcd"]
     assert markup.without_boilerplate(code, [1, 2, 3, 4]) == code
+
+
+# --- results depend on the row only -----------------------------------------------------------------------------
+
+
+def test_languages_do_not_depend_on_the_batch(spark, data):
+    texts = [r.text for r in spark.read.parquet(f"{data}/chunks.parquet").where("text IS NOT NULL").select("text").collect()]
+    alone = [[row[1:] for row in languages.sentence_languages([t])] for t in texts]
+    order = list(range(len(texts)))
+    random.Random(5).shuffle(order)
+    together: list[list] = [[] for _ in texts]
+    for number, *row in languages.sentence_languages([texts[i] for i in order]):
+        together[order[number]].append(tuple(row))
+    assert [[(*r[:3], round(r[3], 9)) for r in rows] for rows in together] == [[(*r[:3], round(r[3], 9)) for r in rows] for rows in alone]
+
+
+def test_parts_of_a_long_text_change_nothing(monkeypatch, spark, data):
+    texts = [r.text for r in spark.read.parquet(f"{data}/chunks.parquet").where("text IS NOT NULL").orderBy("chunk_key").limit(60).select("text").collect()]
+    whole = languages.sentence_languages(["\n\n".join(texts)])
+    monkeypatch.setattr(languages, "TOGETHER", 700)
+    parts = languages.sentence_languages(["\n\n".join(texts)])
+    assert [r[:4] for r in parts] == [r[:4] for r in whole] and len(whole) > 100
+
+
+def test_long_constructs_are_no_prose():
+    cell = "The board of directors is pleased to present the annual report of the company. "
+    for text in (f"<table>{cell * 400}</table>", f"<li>{cell * 20}</li>", f"\\begin{{tabular}}{{l}}{cell * 100}\\end{{tabular}}", f"<!--{cell * 10}-->"):
+        assert languages.sentence_languages([text]) == []
+    assert len(languages.sentence_languages([f"<table> {cell * 3}"])) == 3  # nothing closes it
+
+
+def test_markup_loses_no_content():
+    assert markup.convert("Intro <b>x</b>\n<!-- unclosed note\nNet profit 5\nMore text")[0] == "Intro x\n unclosed note\nNet profit 5\nMore text"
+    assert markup.convert("<p>use `<div>` and `[[a]]` tags</p> [[b|c]]")[0] == "use <div> and [[a]] tags\n c"
+    assert markup.convert("<table><tr><td>a|b</td><td>c</td></tr></table>")[0].split("\n")[0] == "| a\\|b | c |"
+    long = "x_1 + " * 300
+    assert markup.convert(f"with \\({long}y\\) done") == (f"with ${long}y$ done", {"latex"})
+    rows = "".join(f"|-\n| {i} || {i}\n" for i in range(4000))
+    clean, kinds = markup.convert("{|\n" + rows + "|}")
+    assert kinds == {"wiki"} and clean.count("\n") == 4000 and "{|" not in clean
+
+
+def test_every_script_is_composed(spark):
+    texts = ["각", "각 x", "ẹ́", "が", "क़", "آ"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "chunk_key bigint, text string")
+    got = [r.text for r in lookalikes.consistent_texts(frame, "chunk_key", "text").orderBy("chunk_key").collect()]
+    assert got == [unicodedata.normalize("NFC", t.replace(" ", " ")) for t in texts]
+
+
+def test_pieces_of_many_lines_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    pieces.cut("a line of text without an end\n" * 80_000, 4000, 100)
+    assert time.perf_counter() - began < 3
