@@ -205,6 +205,8 @@ class Lexicon:
                 edges.append((self.cost(meant) + _CHANGE, meant, "ocr_char"))
             if parts := self.split(token):
                 edges.append((sum(map(self.cost, parts)) + 4.0, " ".join(parts), "split"))
+            elif parts := self.split_misread(token):
+                edges.append((sum(map(self.cost, parts)) + 4.0 + _CHANGE, " ".join(parts), "split ocr_char"))
             if len(self.edges) > 500_000:
                 self.edges.clear()
             self.edges[token] = [*edges, (self.cost(token), None, "")]
@@ -220,6 +222,22 @@ class Lexicon:
                         best, cheapest = (token[:i], token[i:]), cost
         return best
 
+    def split_misread(self, token: str) -> tuple[str, str] | None:
+        """A known word and one that is misread, run together."""
+        best, cheapest = None, math.inf
+        if 8 <= len(token) <= LONGEST_WORD and not self.known(token):
+            for i in range(3, len(token) - 2):
+                left, right = token[:i], token[i:]
+                if left.isalpha() and self.known(left):
+                    parts = (left, self.meant(right)) if len(right) >= 4 else None
+                elif right.isalpha() and self.known(right):
+                    parts = (self.meant(left), right) if len(left) >= 4 else None
+                else:
+                    continue
+                if parts and all(parts) and (cost := sum(map(self.cost, parts))) < cheapest:
+                    best, cheapest = parts, cost
+        return best
+
 
 #: Stands in a stream where a line ended after a mark that may have cut a word.
 _JOIN = "\ue000"
@@ -307,9 +325,9 @@ def decode(stream: str, lexicon: Lexicon) -> list[tuple[int, int, str, str]]:
                 if not any(skipped[i:j]) and (meant := lexicon.meant(joined)):
                     edge(i, j, lexicon.cost(meant) + _CHANGE, meant, "hyphen ocr_char")
                 edge(i, j, lexicon.cost(joined), joined, "hyphen")
-        elif apart[i] and not skipped[i] and not skipped[i + 1] and word.isalpha() and words[i + 1].isalpha() and not (lexicon.known(word) and lexicon.known(words[i + 1])):
+        elif apart[i] and not skipped[i] and not skipped[i + 1] and not (lexicon.known(word) and lexicon.known(words[i + 1])):
             joined = word + words[i + 1]
-            if lexicon.known(joined):
+            if joined.isalpha() and lexicon.known(joined):
                 edge(i, i + 2, lexicon.cost(joined) + _CHANGE, joined, "merge")
             elif meant := lexicon.meant(joined):
                 edge(i, i + 2, lexicon.cost(meant) + 2 * _CHANGE, meant, "merge ocr_char")

@@ -458,3 +458,12 @@ def test_pieces_of_many_lines_take_linear_time():
     began = time.perf_counter()
     pieces.cut("a line of text without an end\n" * 80_000, 4000, 100)
     assert time.perf_counter() - began < 3
+
+
+def test_splits_and_merges_of_misread_words_are_decoded_jointly():
+    words = {"the": 9000, "of": 9000, "company": 500, "recorded": 500, "balance": 400, "management": 500, "manage": 100, "corn": 30}
+    lexicon = scans.Lexicon(words, 100_000)
+    assert scans.decoded("the cornpanyrecorded balance", lexicon) == ("the company recorded balance", {"split", "ocr_char"})
+    assert scans.decoded("the corn pany recorded", lexicon) == ("the company recorded", {"merge", "ocr_char"})
+    assert scans.decoded("manage rnent of the balance", lexicon) == ("management of the balance", {"merge", "ocr_char"})
+    assert scans.decoded("the c0m pany recorded the ba1 ance", lexicon) == ("the company recorded the balance", {"merge", "ocr_char"})
