@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Spellings of multipliers.
 MULTIPLIERS = {
     1e2: "hundred 百 hecto",
@@ -149,14 +151,21 @@ def _joint(text: str, i: int, j: int) -> bool:
     return j < len(text) and text[j - 1].isascii() and text[j].isascii() and text[j - 1].isalpha() and text[j].isalpha()
 
 
-@lru_cache(maxsize=100_000)
+#: Longest unit string whose readings a worker's memo keeps.
+MEMO_LENGTH = 80
+
+
 def readings(text: str) -> tuple[tuple[str | None, float, str | None, float, float], ...]:
     """All cheapest readings (unit name, scale, currency, multiplier, cost) of a unit string.
 
     The unit name is "currency unit" for money and None for a multiplier alone.
     """
+    return _kept_readings(text) if len(text) <= MEMO_LENGTH else _readings(text)
+
+
+def _readings(text: str) -> tuple[tuple[str | None, float, str | None, float, float], ...]:
     s = _norm(text)
-    if not s or len(s) > 80:
+    if not s:
         return ()
     best: list[dict[tuple, float]] = [{} for _ in range(len(s) + 1)]
     best[0][_START] = 0.0
@@ -192,6 +201,8 @@ def readings(text: str) -> tuple[tuple[str | None, float, str | None, float, flo
     return tuple((*r, c) for r, c in sorted(out.items(), key=lambda x: (x[1], str(x[0]))))
 
 
+_kept_readings = lru_cache(maxsize=100_000)(_readings)
+
 _NUMBER = re.compile(r"\d{1,3}(?:[ \u00a0\u202f\u2009]\d{3})+(?:[.,]\d+)?(?!\d)|\d+(?:[.,]\d+)*(?:e[+-]?\d+)?|\.\d+")
 
 
@@ -237,7 +248,6 @@ _CUES = re.compile(
 )
 
 
-@lru_cache(maxsize=100_000)
 def _source_readings(text: str) -> tuple:
     text = text.replace("(in full)", " ").replace("(1 = 100%)", " ")
     after = text.rpartition("\x01")[2] if "\x01" in text else ""
@@ -247,6 +257,9 @@ def _source_readings(text: str) -> tuple:
     return ()
 
 
+_kept_source_readings = lru_cache(maxsize=100_000)(_source_readings)
+
+
 def source_readings(source: str | None, name: str | None, value: str | None) -> tuple:
     """Readings of the unit that a source text states, beside the value first."""
     if not source:
@@ -256,7 +269,8 @@ def source_readings(source: str | None, name: str | None, value: str | None) ->
         s = s.replace(value, "\x01", 1)
     if name:
         s = s.replace(name, "\x00")
-    return _source_readings(re.sub(r"(附注|注記|note )\d+", r"\g<1>0", s))
+    s = re.sub(r"(附注|注記|note )\d+", r"\g<1>0", s)
+    return _kept_source_readings(s) if len(s) <= 4 * MEMO_LENGTH else _source_readings(s)
 
 
 def _join_readings(inner: tuple, outer: tuple) -> tuple:
@@ -274,14 +288,21 @@ def _join_readings(inner: tuple, outer: tuple) -> tuple:
     return tuple(out) or inner
 
 
-def row_readings(value: str | None, unit: str | None, source: str | None, name: str | None, comma_decimal: bool) -> tuple[float, tuple] | None:
-    """(number, readings) of a result; no readings if its unit can't be told."""
-    found = split_value(value, comma_decimal)
+def read_row(value: str | None, unit: str | None, source: str | None, name: str | None) -> tuple[float, float, tuple] | None:
+    """(number with a decimal point, with a decimal comma, readings) of a result; no readings if its unit can't be told."""
+    found = split_value(value)
     if found is None:
         return None
+    comma = split_value(value, True)
     inner = readings(found[1]) if found[1] else ()
     told = _join_readings(inner, readings(unit) if unit and unit.strip() else ())
-    return found[0], told or source_readings(source, name, value)
+    return found[0], comma[0] if comma else found[0], told or source_readings(source, name, value)
+
+
+def row_readings(value: str | None, unit: str | None, source: str | None, name: str | None, comma_decimal: bool) -> tuple[float, tuple] | None:
+    """(number, readings) of a result in a report with that decimal mark."""
+    found = read_row(value, unit, source, name)
+    return found and (found[int(comma_decimal)], found[2])
 
 
 def read_units(results: DataFrame, unit_factors: DataFrame, languages: DataFrame | None = None) -> DataFrame:
@@ -296,36 +317,53 @@ def read_units(results: DataFrame, unit_factors: DataFrame, languages: DataFrame
     """
     table = {r["unit_name"]: (r["kind"], r["common_unit"], float(r["factor"])) for r in unit_factors.select("unit_name", "kind", "common_unit", "factor").collect() if r["unit_name"] is not None}
     picked = results.select("result_id", "doc_id", "id", "name", "value", "unit", "source_text")
-    if languages is None:
-        picked = picked.withColumn("_comma", F.lit(False))
-    else:
-        comma = languages.where(F.lower(F.substring(F.trim("lang"), 1, 2)).isin("de", "fr", "es", "it", "pt")).select(F.col("doc_id").alias("_doc")).distinct()
-        picked = picked.join(comma, F.col("doc_id") == F.col("_doc"), "left").withColumn("_comma", F.col("_doc").isNotNull()).drop("_doc")
-
-    schema = "result_id bigint, doc_id bigint, id string, name string, number double, readings array<struct<kind: string, common_unit: string, currency: string, factor: double, cost: double>>"
+    schema = "result_id bigint, doc_id bigint, id string, name string, point double, comma double, readings array<struct<kind: string, common_unit: string, currency: string, factor: double, cost: double>>"
     reading = pa.struct([("kind", pa.string()), ("common_unit", pa.string()), ("currency", pa.string()), ("factor", pa.float64()), ("cost", pa.float64())])
 
+    def in_common_units(told: tuple) -> list[tuple]:
+        rows = []
+        for unit_name, scale, money, times, cost in told:
+            if unit_name is None:
+                rows.append((None, None, None, times, cost))
+            elif unit_name in table:
+                kind, common, factor = table[unit_name]
+                rows.append((kind, common, money, times * scale * factor, cost))
+        return rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[tuple, list[tuple]] = {}
         for batch in batches:
-            numbers, told = [], []
+            points, commas, offsets, flat = [], [], [0], []
             columns = batch.to_pydict()
-            for name, value, unit, source, comma in zip(*(columns[c] for c in ("name", "value", "unit", "source_text", "_comma"))):
-                found = row_readings(value, unit, source, name, comma)
-                numbers.append(found and found[0])
-                rows = []
-                for unit_name, scale, money, times, cost in found[1] if found else ():
-                    if unit_name is None:
-                        rows.append({"kind": None, "common_unit": None, "currency": None, "factor": times, "cost": cost})
-                    elif unit_name in table:
-                        kind, common, factor = table[unit_name]
-                        rows.append({"kind": kind, "common_unit": common, "currency": money, "factor": times * scale * factor, "cost": cost})
-                told.append(rows)
+            for name, value, unit, source in zip(*(columns[c] for c in ("name", "value", "unit", "source_text"))):
+                found = read_row(value, unit, source, name)
+                points.append(found and found[0])
+                commas.append(found and found[1])
+                if found and found[2]:
+                    rows = memo.get(found[2])
+                    if rows is None:
+                        if len(memo) > 100_000:
+                            memo.clear()
+                        rows = memo[found[2]] = in_common_units(found[2])
+                    flat += rows
+                offsets.append(len(flat))
+            fields = [pa.array(list(c), f.type) for c, f in zip(zip(*flat) if flat else [[]] * 5, reading)]
+            told = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(reading)))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("result_id", "doc_id", "id", "name")), pa.array(numbers, pa.float64()), pa.array(told, pa.list_(reading))],
-                names=["result_id", "doc_id", "id", "name", "number", "readings"],
+                [*(batch.column(c) for c in ("result_id", "doc_id", "id", "name")), pa.array(points, pa.float64()), pa.array(commas, pa.float64()), told],
+                names=["result_id", "doc_id", "id", "name", "point", "comma", "readings"],
             )
 
-    read = picked.mapInArrow(run, schema)
+    # read once: the priors and the choice between readings both need it
+    read = cut_lineage(picked.mapInArrow(run, schema))
+    if languages is None:
+        read = read.withColumn("number", F.col("point"))
+    else:
+        # the report's language meets the short rows that were read, not the texts; rows that it decides nothing in don't wait for it
+        comma = languages.where(F.lower(F.substring(F.trim("lang"), 1, 2)).isin("de", "fr", "es", "it", "pt")).select(F.col("doc_id").alias("_doc")).distinct()
+        open_ = F.col("point") != F.col("comma")
+        decided = read.where(open_).join(comma, F.col("doc_id") == F.col("_doc"), "left").withColumn("number", F.when(F.col("_doc").isNotNull(), F.col("comma")).otherwise(F.col("point"))).drop("_doc")
+        read = decided.unionByName(read.where(~F.coalesce(open_, F.lit(False))).withColumn("number", F.col("point")))
     cheapest = F.array_min(F.transform("readings", lambda r: r["cost"]))
     sure = read.select("name", F.filter("readings", lambda r: r["kind"].isNotNull() & (r["cost"] <= cheapest)).alias("r")).where((F.size("r") == 1)).select("name", F.col("r")[0]["kind"].alias("kind"), F.col("r")[0]["common_unit"].alias("common_unit"))
     counted = sure.groupBy("name", "kind", "common_unit").count()
@@ -359,14 +397,15 @@ def same_quantities(read: DataFrame, tolerance: float = 0.005) -> DataFrame:
     so neither a hot key nor many equal rows are paired with each other.
     """
     known = read.where((F.abs("quantity") < 1e300) & F.col("doc_id").isNotNull() & F.col("id").isNotNull() & ((F.col("kind") != "amount") | F.col("currency").isNotNull()))
-    known = known.select("result_id", "doc_id", "id", "kind", F.coalesce("currency", F.lit("")).alias("currency"), "quantity", "factor")
+    # short rows that four branches start from
+    known = cut_lineage(known.select("result_id", "doc_id", "id", "kind", F.coalesce("currency", F.lit("")).alias("currency"), "quantity", "factor"))
     bucket = F.when(F.col("quantity") == 0, F.lit(-1_000_000)).otherwise(F.floor(F.log(F.abs("quantity")) / _WIDTH))
     key = ["doc_id", "id", "kind", "currency"]
     distinct = known.select(*key, "quantity", "factor").distinct().withColumn("_bucket", bucket).withColumn("_sign", F.signum("quantity"))
     left = distinct.withColumn("_bucket", F.explode(F.array(F.col("_bucket") - 1, F.col("_bucket"), F.col("_bucket") + 1))).withColumnsRenamed({"quantity": "qa", "factor": "fa"})
     right = distinct.withColumnsRenamed({"quantity": "qb", "factor": "fb"})
     near = (F.abs(F.col("qa") - F.col("qb")) <= tolerance * F.greatest(F.abs("qa"), F.abs("qb"))) & (F.abs(F.col("fa") - F.col("fb")) > 1e-9 * F.greatest("fa", "fb"))
-    agreeing = left.join(right, [*key, "_sign", "_bucket"]).where(near).select(*key, "qa", "fa", "qb", "fb").distinct()
+    agreeing = left.join(right, [*key, "_sign", "_bucket"]).where(near).select(*key, "qa", "fa", "qb", "fb")
     a = known.withColumnsRenamed({"result_id": "result_id_a", "quantity": "qa", "factor": "fa"})
     b = known.withColumnsRenamed({"result_id": "result_id_b", "quantity": "qb", "factor": "fb"})
     pairs = agreeing.join(a, [*key, "qa", "fa"]).join(b, [*key, "qb", "fb"]).where(F.col("result_id_a") < F.col("result_id_b"))

@@ -113,3 +113,9 @@ def test_many_equal_rows_aren_t_paired_with_each_other(spark):
     rows = [(i, 1, "R", "assets", "5", "RMB mn", None) for i in range(2000)] + [(9001, 1, "R", "assets", "5000", "RMB thousand", None)]
     read = U.read_units(spark.createDataFrame(rows, RESULT), spark.createDataFrame(FACTORS, "unit_name string, kind string, common_unit string, factor double"))
     assert U.same_quantities(read).count() == 2000
+
+
+def test_a_unit_of_any_length_is_read():
+    long = "RMB" + " in" * 60 + " thousand"
+    assert U.readings(long) == U.readings("RMB thousand") != () or U.readings(long)[0][:4] == U.readings("RMB thousand")[0][:4]
+    assert U.readings("万" * 5000) != () and U.readings("no unit at all " * 5000) == ()
