@@ -67,12 +67,12 @@ def chunk_starts(lines: Column, max_chars: int) -> Column:
 def build_chunks(df: DataFrame, key: str = "doc_id", text: str = "text", max_chars: int = 4500, heading_levels: int = 6, strategy: str = "auto") -> DataFrame:
     """Rows (key, chunk_id, page_start, page_end, section_path, text), without a shuffle.
 
-    The strategies auto, cn_slice and heading come to the same; fixed reads no
-    headings. A single line over the limit becomes a chunk of its own. Null and
-    empty texts have no chunk.
+    A strategy says how deep headings are read: "fixed" not at all, every other
+    to ``heading_levels``. A single line over the limit becomes a chunk of its
+    own. Null and empty texts have no chunk.
     """
-    levels = 0 if strategy == "fixed" else heading_levels
-    lined = df.select(F.col(key), line_kinds(F.col(text), levels).alias("_lines")).withColumn("_starts", chunk_starts(F.col("_lines"), max_chars))
+    depth = {"fixed": 0}.get(strategy, heading_levels)
+    lined = df.select(F.col(key), line_kinds(F.col(text), depth).alias("_lines")).withColumn("_starts", chunk_starts(F.col("_lines"), max_chars))
 
     def one(c: Column, i: Column) -> Column:
         following = F.coalesce(F.try_element_at(F.col("_starts"), (i + 2).cast("int"))["line"], F.size("_lines"))

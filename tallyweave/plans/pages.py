@@ -162,7 +162,7 @@ def align_blocks(spark, d):
     from ..functions.text import word_form
 
     nodes = table(spark, d, "outline_nodes").select("doc_id", F.lit(1).alias("section_no"), "node_no", "node_key", F.posexplode(F.coalesce("body", F.array().cast("array<string>"))).alias("p", "t"))
-    blocks = nodes.select("doc_id", "section_no", (F.col("node_key") * 1000 + F.col("p")).cast("int").alias("block_no"), word_form(F.col("t")).alias("norm"), F.col("t").startswith("|").alias("table"))
+    blocks = nodes.select("doc_id", "section_no", (F.shiftleft(F.col("node_key"), 24) + F.col("p")).alias("block_no"), word_form(F.col("t")).alias("norm"), F.col("t").startswith("|").alias("table"))
     chunks = table(spark, d, "chunks").where(F.col("text").isNotNull())
     anchors = chunks.select("doc_id", F.lit(1).alias("section_no"), F.coalesce("page_start", F.lit(1)).alias("page"), F.col("text").startswith("|").alias("table"), word_form(F.col("text")).alias("norm"), F.col("chunk_key").cast("double").alias("yf0"), (F.col("chunk_key") + 1).cast("double").alias("yf1"))
     return align.align_blocks(blocks, anchors)

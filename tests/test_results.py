@@ -148,3 +148,29 @@ def test_alignment_sees_whole_blocks(spark, tmp_path):
     spark.createDataFrame([(1, 1, 1, [long])], "doc_id bigint, node_no int, node_key bigint, body array<string>").write.parquet(str(tmp_path / "outline_nodes.parquet"))
     spark.createDataFrame([(1, 7, 3, "closing balance of the year")], "doc_id bigint, chunk_key bigint, page_start int, text string").write.parquet(str(tmp_path / "chunks.parquet"))
     assert [(r.page, r.yf0) for r in pages.align_blocks(spark, str(tmp_path)).collect()] == [(3, 7.0)]
+
+
+def test_the_best_chain_against_all_chains():
+    import itertools
+    import random
+
+    from tallyweave.operators import align
+
+    rng = random.Random(2)
+    for _ in range(300):
+        options = [[(a, a + rng.randint(0, 1), float(rng.randint(1, 5))) for a in rng.sample(range(6), rng.randint(0, 3))] for _ in range(rng.randint(0, 4))]
+        best = 0.0
+        for chain in itertools.product(*[[None, *o] for o in options]):
+            taken = [c for c in chain if c]
+            if all(a[1] < b[0] for a, b in zip(taken, taken[1:])):
+                best = max(best, sum(c[2] for c in taken))
+        chosen = [c for c in align.best_chain(options) if c]
+        assert sum(c[2] for c in chosen) == best and all(a[1] < b[0] for a, b in zip(chosen, chosen[1:]))
+
+
+def test_replies_with_brackets_inside_strings():
+    from tallyweave.operators.extraction import parse_reply
+
+    assert parse_reply('so: {"value": "a } b", "unit": "{"} end', False) == [{"value": "a } b", "unit": "{"}]
+    assert parse_reply("[note] {broken {\"value\": 1}", False) == [{"value": 1}] and parse_reply("[" * 100_000, True) is None
+    assert parse_reply('{"results": []}', True) == [] and parse_reply('{"result": {"value": 2}}', False) == [{"value": 2}]
