@@ -16,20 +16,35 @@ def normalised(results: DataFrame) -> DataFrame:
     )
 
 
-def first_present(responses: DataFrame, by: list[str], window: str = "window_no", order: str = "item_no") -> DataFrame:
+def first_present(responses: DataFrame, by: list[str], window: str = "window_no", order: str = "item_no", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per key the first window's value that isn't absent; within a window the last item of an id counts.
 
     Two aggregations, both partial before the shuffle: the last item per window
-    and key, then the first of those with a value.
+    and key, then the first of those with a value. ``keep`` names further columns
+    of the item to keep.
     """
-    last = responses.groupBy(*by, window).agg(F.max_by(F.struct("value", "unit"), order).alias("_item"))
+    fields = ["value", "unit", *keep]
+    last = responses.groupBy(*by, window).agg(F.max_by(F.struct(*fields), order).alias("_item"))
     kept = last.where(~absent(F.col("_item.value")))
-    return kept.groupBy(*by).agg(F.min_by("_item", window).alias("_item"), F.min(window).alias("from_window")).select(*by, F.col("_item.value").alias("value"), F.col("_item.unit").alias("unit"), "from_window")
+    return kept.groupBy(*by).agg(F.min_by("_item", window).alias("_item"), F.min(window).alias("from_window")).select(*by, *(F.col(f"_item.{f}").alias(f) for f in fields), "from_window")
 
 
-def for_every_rule(rules: DataFrame, found: DataFrame) -> DataFrame:
-    """A row for each document and rule, with nulls and an empty error where nothing was found."""
-    return rules.join(found, ["doc_id", "id"], "left").select("doc_id", "id", "name", "value", parse_number(F.col("value")).alias("value_num"), "unit", F.lit("").alias("error"))
+def for_every_rule(rules: DataFrame, found: DataFrame, missing: str = "") -> DataFrame:
+    """A row for each document and rule; where nothing was found nulls and ``missing`` as the error.
+
+    The source text and the errors of ``found`` are kept where it has them.
+    """
+    joined = rules.join(found.withColumn("_found", F.lit(True)), ["doc_id", "id"], "left")
+    told = F.coalesce("error", F.lit("")) if "error" in found.columns else F.lit("")
+    source = ["source_text"] if "source_text" in found.columns else []
+    error = F.when(F.col("_found"), told).otherwise(F.lit(missing))
+    return joined.select("doc_id", "id", "name", "value", parse_number(F.col("value")).alias("value_num"), "unit", *source, error.alias("error"))
+
+
+def with_aliases(results: DataFrame, rules: DataFrame) -> DataFrame:
+    """Results with the aliases of their rule, none where there is no such rule; of repeated rules the first."""
+    aliases = rules.groupBy("id").agg(F.min_by("aliases", "rule_key").alias("aliases"))
+    return results.join(aliases, "id", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
 
 
 def last_result(results: DataFrame, by: list[str]) -> DataFrame:

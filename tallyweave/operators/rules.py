@@ -9,18 +9,18 @@ from ..functions.text import parse_bool, parse_list, strip
 
 # Headers of rule sheets, by the column they mean.
 HEADERS = {
-    "id": "id 编号 指标编号 序号",
-    "name": "name 指标名称 名称 指标",
-    "name_in_material": "name_in_material 材料中名称 原文名称",
-    "source": "source 来源 数据来源",
+    "id": "id 编号",
+    "name": "name 名称 指标名称",
+    "name_in_material": "name_in_material 素材名称 素材中的叫法",
+    "source": "source 来源 来源说明 口径",
     "enabled": "enabled 启用 是否启用",
-    "allow_parent_note": "allow_parent_note 允许母公司附注",
-    "section_hint": "section_hint 章节提示 章节",
-    "aliases": "aliases 别名 同义词",
-    "extraction_mode": "extraction_mode 提取方式",
-    "calc": "calc 计算公式 公式",
-    "aggregation": "aggregation 汇总方式",
-    "skip_reason": "skip_reason 跳过原因",
+    "section_hint": "section_hint 章节线索 定位线索",
+    "aliases": "aliases 别名",
+    "extraction_mode": "extraction_mode 抽取模式",
+    "calc": "calc 计算",
+    "aggregation": "aggregation 聚合",
+    "allow_parent_note": "allow_parent_note 母公司附注",
+    "skip_reason": "skip_reason 备注 跳过原因",
 }
 
 
@@ -62,6 +62,19 @@ def rule_faults(rules: DataFrame) -> DataFrame:
     return rules.withColumn("_nth", nth).select("profile", "rule_key", F.explode(faults).alias("fault"))
 
 
+def type_faults(raw: DataFrame, rule: str = "rule") -> DataFrame:
+    """Rows (rule_key, fault) of rules as JSON texts: lists that are none, switches that are neither true nor false."""
+    parsed = F.try_parse_json(F.col(rule))
+    typed = lambda name: F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
+    faults = F.array_compact(
+        F.array(
+            *(F.when(~typed(c).startswith("ARRAY") & (typed(c) != "VOID"), F.lit(f"{c} is no list")) for c in ("section_hint", "aliases")),
+            *(F.when(~typed(c).isin("BOOLEAN", "VOID"), F.lit(f"{c} is neither true nor false")) for c in ("enabled", "allow_parent_note")),
+        )
+    )
+    return raw.select("rule_key", F.explode(faults).alias("fault"))
+
+
 def distinct_ids(rules: DataFrame) -> DataFrame:
     """Rules with ids made unique within the profile: empty ids become M01, M02 ..., repeated ones get the row's number."""
     place = Window.partitionBy("profile").orderBy("rule_key")

@@ -33,12 +33,16 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset, as in tests, a folder of this machine is used.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a
+    folder of this machine is used in local mode, as in tests; on a cluster it is
+    an error, for the executors would not share it.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyweave-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not (context.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tallyweave-"))
     return df.checkpoint(eager=True)
 
 

@@ -67,3 +67,21 @@ def merged_edits(sections: DataFrame, edits: DataFrame, key: str = "doc_id") ->
     body = F.rtrim(F.regexp_replace(F.coalesce("_edit", "body"), r"\s+\z", ""))
     ordered = edited.select(key, F.struct("section_no", body.alias("b")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("x"))
     return ordered.select(key, F.concat(F.array_join(F.transform("x", lambda p: p["b"]), "\n\n"), F.lit("\n")).alias("text"))
+
+
+def report_document(path: str, title: str, sections: DataFrame, records: DataFrame) -> None:
+    """A word document of a report: its title, each section's text, then a table per section of the metrics that belong to it.
+
+    ``sections`` has section_no, title and body, ``records`` section_no, id, name,
+    value and unit. Both are of one report.
+    """
+    of: dict[int, list[tuple]] = {}
+    for r in records.orderBy("section_no", "id").collect():
+        of.setdefault(r.section_no, []).append((r.id, r.name or "", " ".join(filter(None, (r.value, r.unit)))))
+    blocks: list[tuple[str, object]] = [("heading1", title)]
+    for s in sections.orderBy("section_no").collect():
+        blocks.append(("heading2", s.title or ""))
+        blocks += [("text", line) for line in (s.body or "").split("\n") if line.strip()]
+        if s.section_no in of:
+            blocks.append(("table", [("id", "name", "value"), *of[s.section_no]]))
+    write_document(path, blocks)
