@@ -65,6 +65,18 @@ def comparison(results: DataFrame, entities: list[str], entity: str = "entity")
     return heads.join(wide, "id")
 
 
+def comparison_long(results: DataFrame, entity: str = "entity") -> DataFrame:
+    """Rows (id, entity, name, rule_group, cell): every entity's last formatted value of every id.
+
+    Name and group come from the first entity by name that has the id. Rows
+    without an entity take no part.
+    """
+    last = results.where(F.col(entity).isNotNull()).groupBy("id", entity).agg(F.max_by(F.struct("name", "rule_group", "value", "unit"), "result_id").alias("_r"))
+    heads = last.groupBy(F.col("id").alias("_id")).agg(F.min_by(F.struct("_r.name", "_r.rule_group"), entity).alias("_h"))
+    joined = last.join(heads, F.col("id").eqNullSafe(F.col("_id")))
+    return joined.select("id", entity, F.col("_h.name").alias("name"), F.col("_h.rule_group").alias("rule_group"), value_with_unit(F.col("_r.value"), F.col("_r.unit")).alias("cell"))
+
+
 def records(results: DataFrame, entity: str = "entity") -> DataFrame:
     """A row per id with a map from entity to value and unit; of repeated results the last counts.
 

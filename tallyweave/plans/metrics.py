@@ -136,42 +136,43 @@ def results_per_rule(spark, d):
     return results.for_every_rule(wanted.select("doc_id", "id", "name"), found)
 
 
-ENTITIES = ["沅岳能源", "Marlowick Energy", "Yorrimund Trust", "Grauwinkel Werke"]
-_IN = ", ".join(map(sql.quoted, ENTITIES))
 _CELL = "CASE WHEN value IS NULL OR value IN ('', 'null') THEN '' ELSE concat_ws(' ', value, nullif(unit, '')) END"
-_PIVOT = ", ".join(f"""max(CASE WHEN company = {sql.quoted(e)} THEN cell END) AS "{e}" """ for e in ENTITIES)
 
 
 @query(
-    f"""WITH cells AS (SELECT id, company, name, rule_group, result_id, {_CELL} AS cell, list_position([{_IN}], company) AS place FROM metric_results WHERE company IN ({_IN})),
-    heads AS (SELECT id, min(name) AS name FROM cells c WHERE place = (SELECT min(place) FROM cells x WHERE x.id = c.id) GROUP BY id),
-    last AS (SELECT id, company, cell FROM cells QUALIFY row_number() OVER (PARTITION BY id, company ORDER BY result_id DESC) = 1)
-    SELECT last.id, {_PIVOT} FROM last GROUP BY last.id"""
+    f"""WITH last AS (SELECT id, company, name, rule_group, {_CELL} AS cell FROM metric_results WHERE company IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, company ORDER BY result_id DESC) = 1)
+    SELECT id, company, first_value(name) OVER (PARTITION BY id ORDER BY company) AS name, first_value(rule_group) OVER (PARTITION BY id ORDER BY company) AS rule_group, cell FROM last"""
 )
-def comparison_wide(spark, d):
-    wide = results.comparison(table(spark, d, "metric_results"), ENTITIES, "company")
-    return wide.drop("name", "rule_group")
+def comparison_long(spark, d):
+    """All companies' values by id, with the name and group of the first company that has it."""
+    return results.comparison_long(table(spark, d, "metric_results"), "company")
 
 
 @query(
-    """WITH last AS (SELECT id, rule_group AS entity, name, value, unit FROM metric_results WHERE rule_group IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, rule_group ORDER BY result_id DESC) = 1)
-    SELECT id, min(name) AS name, count(*) AS n_entities, string_agg(entity || '=' || value || coalesce(unit, ''), '; ' ORDER BY entity) AS entries FROM last WHERE value IS NOT NULL AND value NOT IN ('', 'null') GROUP BY id"""
+    """WITH last AS (SELECT id, company, name, value, unit FROM metric_results WHERE company IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, company ORDER BY result_id DESC) = 1)
+    SELECT id, min(name) AS name, count(*) AS n_entities, string_agg(company || '=' || value || coalesce(unit, ''), '; ' ORDER BY company) AS entries FROM last WHERE value IS NOT NULL AND value NOT IN ('', 'null') GROUP BY id"""
 )
 def records_multi(spark, d):
-    """Records by id over the groups of rules, the map written out in order."""
-    recs = results.records(table(spark, d, "metric_results").where(F.col("rule_group").isNotNull()), "rule_group")
+    """Records by id over all companies, the map written out in order."""
+    recs = results.records(table(spark, d, "metric_results").where(F.col("company").isNotNull()), "company")
     entries = F.array_sort(F.map_entries("values"))
     text = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"]["value"], F.coalesce(e["value"]["unit"], F.lit("")))), "; ")
     return recs.select("id", "name", F.size("values").cast("bigint").alias("n_entities"), text.alias("entries"))
 
 
 @query(
-    """WITH last AS (SELECT id, company, name, value, unit FROM metric_results WHERE company IN ('沅岳能源', 'Marlowick Energy') QUALIFY row_number() OVER (PARTITION BY id, company ORDER BY result_id DESC) = 1)
+    """WITH last AS (SELECT id, company, name, value, unit FROM metric_results WHERE company IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, company ORDER BY result_id DESC) = 1)
     SELECT id, '- ' || min(name) || ': ' || string_agg(company || '=' || value || coalesce(unit, ''), '; ' ORDER BY company) AS line FROM last WHERE value IS NOT NULL AND value NOT IN ('', 'null') GROUP BY id"""
 )
 def metric_blocks(spark, d):
-    two = table(spark, d, "metric_results").where(F.col("company").isin(*ENTITIES[:2]))
-    return results.records(two, "company").select("id", outline.metric_block(F.col("name"), F.col("values")).alias("line"))
+    """A line per metric with the values of all companies."""
+    return results.records(table(spark, d, "metric_results").where(F.col("company").isNotNull()), "company").select("id", outline.metric_block(F.col("name"), F.col("values")).alias("line"))
+
+
+@query(f"{_SCORED} SELECT *, row_number() OVER (PARTITION BY doc_id, rule_key ORDER BY score DESC, chunk_id, chunk_key)::INT AS rank FROM scored WHERE score > 0 QUALIFY rank <= 1")
+def retrieve_best(spark, d):
+    """The best chunk of each document and rule: a limit that cuts."""
+    return retrieval.best_chunks(scored(spark, d), 1)
 
 
 @query("SELECT m.result_id, coalesce(r.place, 9999) AS place FROM metric_results m LEFT JOIN (SELECT id, min(rule_key) AS place FROM rules GROUP BY id) r USING (id)")

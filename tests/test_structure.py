@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,38 @@ def test_rule_ids(spark):
 def test_rule_faults(spark):
     rules = spark.createDataFrame([(1, "p", "A", "n", "direct", None), (2, "p", "A", " ", "calc", ""), (3, "p", None, "n", None, None)], "rule_key int, profile string, id string, name string, extraction_mode string, calc string")
     assert sorted((r.rule_key, r.fault) for r in rule_faults(rules).collect()) == [(2, "calc without formula"), (2, "duplicate id"), (2, "missing name"), (3, "missing id")]
+
+
+def test_scores_against_plain_search(spark):
+    """The automaton gives what looking for each term gives, in one pass or in blocks of rules."""
+    import random
+
+    from tallyweave.operators import retrieval
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("ab 資Ａ/") for _ in range(rng.randint(0, 4)))
+    chunks = [(i, i, f"c{i}", rng.choice(["p", "q", None]), rng.choice([None, [], [word(), None]]), rng.choice([None, "", word() * 3 + " Unit Item "])) for i in range(60)]
+    lists = lambda: rng.choice([None, [], [word(), None, word()]])
+    rules = [(i, rng.choice(["p", "q", None]), False, lists(), lists(), lists()) for i in range(30)]
+    left = spark.createDataFrame(chunks, "doc_id bigint, chunk_key bigint, chunk_id string, profile string, section_path array<string>, text string")
+    right = spark.createDataFrame(rules, "rule_key bigint, profile string, allow_parent_note boolean, aliases array<string>, section_hint array<string>, company_hints array<string>")
+    form = lambda t: "".join(unicodedata.normalize("NFKC", t or "").lower().split())
+
+    def alternatives(term):
+        parts = [p.strip() for p in (term or "").split("/") if p.strip()]
+        return [form(p) for p in parts or [(term or "").strip()] if form(p)]
+
+    wanted = {}
+    for _, key, _, profile, path, text in chunks:
+        body, section = form(text), form(" > ".join(p for p in path or [] if p is not None))
+        for rule, of, _, aliases, sections, companies in rules:
+            if profile is not None and of == profile:
+                total = 1.0 * (sum(s in (text or "") for s in retrieval.TABLE_SIGNALS) >= 2)
+                total += sum(4.0 * any(g in body for g in alternatives(t)) for t in aliases or [])
+                total += sum(10.0 * (any(g in body for g in alternatives(t)) + any(g in section for g in alternatives(t))) for t in companies or [])
+                total += sum((2.0 + i) * any(g in body for g in alternatives(t)) + (3.0 + i) * any(g in section for g in alternatives(t)) for i, t in enumerate(sections or []))
+                if total:
+                    wanted[key, rule] = total
+    for block_bytes in (retrieval.BLOCK_BYTES, 300):
+        assert {(r.chunk_key, r.rule_key): r.score for r in retrieval.scored(left, right, block_bytes=block_bytes).collect()} == wanted
+    assert retrieval.scored(left, right.limit(0)).count() == 0 and retrieval.scored(left.limit(0), right).count() == 0
