@@ -26,6 +26,22 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "profiles"))
 
 
+def p2_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The round trip of p2_pieces: the new parts of a chunk's pieces in order are its text."""
+    part = F.struct("piece_no", F.substring("text", F.col("n_repeated") + 1, F.length("text")).alias("new"))
+    parts = p2_pieces(spark, sf_dir).groupBy("chunk_key").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.count("text").alias("n"))
+    return parts.select("chunk_key", F.when(F.col("n") > 0, F.array_join(F.transform("parts", lambda p: p["new"]), "")).alias("text"))
+
+
+def p2_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of which a piece is over its profile's limit, or a piece but the first doesn't repeat its predecessor's end: none."""
+    profiles = table(spark, sf_dir, "profiles").groupBy("profile").agg(F.min("chunk_max_chars").alias("most"), F.max("chunk_overlap_chars").alias("overlap"))
+    limits = table(spark, sf_dir, "chunks").select("chunk_key", "profile").join(profiles, "profile")
+    cut = p2_pieces(spark, sf_dir).where("n_pieces > 1").join(limits, "chunk_key")
+    repeats = F.least("overlap", "char_start")
+    return cut.where((F.length("text") > F.col("most")) | ((F.col("piece_no") > 1) & (F.col("n_repeated") != repeats))).select("chunk_key").distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.wrongly_labelled(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "profiles"))
 
@@ -76,6 +92,16 @@ def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_containers(spark, sf_dir).groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("items"), (packing.CAPACITY - F.sum("n_tokens")).alias("unused"))
 
 
+def p8_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document's tokens lie in containers, all and once, no container is over the capacity, and only a document over it is split."""
+    placed = p8_containers(spark, sf_dir)
+    used = placed.groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    full = placed.join(used, "container").groupBy("doc_id").agg(F.sum("n_tokens").alias("n_placed"), F.count("*").alias("n_parts"), F.max("used").alias("most"))
+    sizes = tokens.count_tokens(table(spark, sf_dir, "documents"))
+    whole = (F.coalesce("n_placed", F.lit(0)) == F.col("n_tokens")) & (F.coalesce("most", F.lit(0)) <= packing.CAPACITY) & ((F.coalesce("n_parts", F.lit(0)) <= 1) | (F.col("n_tokens") > packing.CAPACITY))
+    return sizes.join(full, "doc_id", "left").select("doc_id", whole.alias("complete"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.with_residue(table(spark, sf_dir, "documents"))
 
@@ -87,11 +113,21 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.where(F.trim("text") != "").join(marked, "doc_id", "left_semi")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_segments, p4_found, p4_texts, p5_found, p5_clean, p6_found, p6_paragraphs, p7_ids, p7_decoded, p8_containers, p8_usage, p9_found, p9_clean)}
+def p9_parted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with content, each either clean or found."""
+    content = table(spark, sf_dir, "documents").where(F.trim("text") != "").select("doc_id")
+    return p9_clean(spark, sf_dir).select("doc_id").union(p9_found(spark, sf_dir).join(content, "doc_id", "left_semi"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_rebuilt, p2_limits, p3_found, p3_segments, p4_found, p4_texts, p5_found, p5_clean, p6_found, p6_paragraphs, p7_ids, p7_decoded, p8_containers, p8_usage, p8_complete, p9_found, p9_clean, p9_parted)}
 
 ORACLES = {
     "p4_found": lookalikes.found_sql(),
     "p4_texts": lookalikes.texts_sql(),
     "p2_found": "SELECT c.chunk_key FROM chunks c JOIN (SELECT profile, min(chunk_max_chars) AS most FROM profiles GROUP BY profile) p USING (profile) WHERE length(c.text) > p.most",
+    "p2_rebuilt": "SELECT chunk_key, text FROM chunks",
+    "p2_limits": "SELECT chunk_key FROM chunks WHERE false",
+    "p8_complete": "SELECT doc_id, true AS complete FROM documents",
+    "p9_parted": "SELECT doc_id FROM documents WHERE trim(text) <> ''",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
