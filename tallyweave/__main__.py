@@ -1,13 +1,14 @@
-"""Command line: list the queries, run one, check a rule file."""
+"""Command line: list the queries, run one, list profiles, show or check a rule file."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
-from .operators.rules import rule_faults
+from .operators.rules import enabled_rules, rule_faults
 from .session import local_session
 from .sources.files import read_rules
+from .sources.profiles import list_profiles
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -20,7 +21,14 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("target", help="folder for the result, as parquet")
     check = commands.add_parser("check", help="report faults of a rule file")
     check.add_argument("rules")
+    show = commands.add_parser("rules", help="show the enabled rules of a rule file")
+    show.add_argument("rules")
+    profiles = commands.add_parser("profiles", help="names of the profiles in a folder")
+    profiles.add_argument("root")
     args = parser.parse_args(argv)
+    if args.command == "profiles":
+        print("\n".join(list_profiles(args.root)))
+        return 0
     from .plans import catalog
 
     queries = dict(catalog.QUERIES)
@@ -34,6 +42,10 @@ def main(argv: list[str] | None = None) -> int:
             return 2
         queries[args.query](spark, args.tables).write.mode("overwrite").parquet(args.target)
         return 0
+    if args.command == "rules":
+        for rule in enabled_rules(read_rules(spark, args.rules)).orderBy("rule_key").collect():
+            print(f"{rule.id}\t{rule.name}")
+        return 0
     faults = rule_faults(read_rules(spark, args.rules)).collect()
     for fault in faults:
         print(f"{fault.rule_key}: {fault.fault}")

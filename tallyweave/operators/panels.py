@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines_of, strip, word_form
+from ..session import cut_lineage
 from . import figures
 from .rules import distinct_ids, with_material_name
 
@@ -68,13 +69,14 @@ def archived_images(documents: DataFrame, index: DataFrame, describe: Callable[[
     """(documents (doc_id, text) with figures replaced by what recognition read, outcomes (doc_id, ref, status, text)).
 
     Each distinct reference of a document is described once, with the text
-    before its first place as context; the outcomes are persisted, so that no
-    call is repeated.
+    before its first place as context; the outcomes are written out, so that
+    neither a second use nor a lost executor repeats a call.
     """
     refs = documents.select("doc_id", "text", F.explode(figures.image_refs(F.col("text"))).alias("ref")).withColumn("context", figures.preceding("text", "ref", chars)).drop("text")
     found = figures.resolve(refs, index)
     named = found.withColumn("_ref", F.col("ref")).withColumn("ref", F.concat_ws("\x00", F.col("doc_id").cast("string"), "ref"))
-    outcomes = describe(named).withColumn("_p", F.split("ref", "\x00")).select(F.col("_p")[0].cast("bigint").alias("doc_id"), F.col("_p")[1].alias("ref"), "status", "text").persist()
+    outcomes = describe(named).withColumn("_p", F.split("ref", "\x00")).select(F.col("_p")[0].cast("bigint").alias("doc_id"), F.col("_p")[1].alias("ref"), "status", "text")
+    outcomes = cut_lineage(outcomes)
     listed = outcomes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ref", "status", "text"))).alias("_o"))
     none = F.array().cast("array<struct<ref: string, status: string, text: string>>")
     done = documents.select("doc_id", "text").join(listed, "doc_id", "left").select("doc_id", figures.replaced(F.col("text"), F.coalesce("_o", none)).alias("text"))

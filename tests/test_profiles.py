@@ -113,3 +113,79 @@ def test_prompts_are_written(spark, tmp_path):
 
     profiles.save_prompts(spark.createDataFrame([("a/b", "p1"), (None, "p2")], "rule_id string, prompt string"), str(tmp_path / "p"), at=datetime(2024, 1, 2, 3, 4, 5))
     assert sorted((r.file, r.value) for r in spark.read.text(str(tmp_path / "p")).collect()) == [("20240102_030405_000000_main_a_b", "p1"), ("20240102_030405_000000_main_unknown", "p2")]
+
+
+class Service:
+    def __init__(self, polls):
+        self.polls, self.seen = list(polls), []
+
+    def request(self, name):
+        return f"job-{name}"
+
+    def upload(self, job, name, content):
+        self.seen.append((job, name, content))
+
+    def poll(self, job):
+        return self.polls.pop(0) if len(self.polls) > 1 else self.polls[0]
+
+    def fetch(self, job):
+        return ["p1", "p2"]
+
+
+def test_job_services():
+    from tallyweave.sources import engines
+
+    waits = []
+    service = Service(["queued", "running", "done"])
+    assert engines.job_engine(service, 8, 30, waits.append)("a/b.pdf", b"x") == ["p1", "p2"] and waits == [8, 8] and service.seen == [("job-b.pdf", "b.pdf", b"x")]
+    for polls in (["failed"], ["running"]):
+        with pytest.raises(RuntimeError):
+            engines.job_engine(Service(polls), 8, 30, waits.append)("b.pdf", b"")
+
+
+def test_conversion_of_files(spark):
+    from tallyweave.sources import engines
+
+    files = spark.createDataFrame([("a.txt", bytearray("# 一、总则\nx\fy".encode())), ("b.txt", None)], "path string, content binary")
+    got = {r.path: r for r in engines.convert(files, "text").collect()}
+    assert got["a.txt"].text.count("物理切片") == 2 and got["a.txt"].text.endswith("y") and got["a.txt"].error == ""
+    assert got["b.txt"].error and got["b.txt"].text == ""
+    with pytest.raises(ValueError, match="text"):
+        engines.convert(files, "none")
+
+
+def test_announcements_of_a_folder(spark, tmp_path):
+    from tallyweave.sources import engines
+
+    for name in ("Acme 2023 annual.pdf", "Acme 2023 interim.pdf", "Acme 2022.pdf"):
+        (tmp_path / name).write_text("")
+    engines.DOWNLOADS["folder"] = engines.folder_source(str(tmp_path))
+    wanted = spark.createDataFrame([("acme", 2023, "annual"), ("acme", 2021, "annual"), ("other", 2023, "annual")], "company string, year int, report_type string")
+    got = [(r.company, r.year, r.title, r.error) for r in engines.announcements(wanted, "folder").orderBy("company", "year", "title").collect()]
+    assert got == [("acme", 2021, "Acme 2022.pdf", ""), ("acme", 2021, "Acme 2023 annual.pdf", ""), ("acme", 2021, "Acme 2023 interim.pdf", ""), ("acme", 2023, "Acme 2023 annual.pdf", ""), ("other", 2023, None, "nothing found")]
+
+
+def test_command_line(tmp_path, capsys):
+    from tallyweave.__main__ import main
+
+    profiles.save_profile(str(tmp_path), "p", {}, [])
+    assert main(["profiles", str(tmp_path)]) == 0 and capsys.readouterr().out == "p\n"
+
+
+def test_no_checkpoint_folder_on_a_cluster(spark, monkeypatch):
+    from tallyweave import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Frame:
+        sparkSession = type("S", (), {"sparkContext": Context()})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.cut_lineage(Frame())
