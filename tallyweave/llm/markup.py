@@ -265,10 +265,12 @@ def boilerplate_lines(texts: list[str | None], page_of: list, span: int = 12, mi
     stays whole, as clauses repeat inside sentences too. Code between fences goes
     whole or not at all.
     """
+    page_ids = {p: i for i, p in enumerate(dict.fromkeys(page_of))}
+    if len(page_ids) < min_pages:  # nothing can stand on so many pages
+        return [[] for _ in texts]
     known: dict = {}
     tokens, pages = [], []
     lines: list[list[tuple[str, int, int]]] = []  # by text: (line, first token, number of tokens)
-    page_ids = {p: i for i, p in enumerate(dict.fromkeys(page_of))}
     for t, text in enumerate(texts):
         lines.append([])
         for line in (text or "").split("\n"):
@@ -276,8 +278,6 @@ def boilerplate_lines(texts: list[str | None], page_of: list, span: int = 12, mi
             lines[t].append((line, len(tokens), len(found)))
             tokens += [known.setdefault(x, len(known)) for x in found]
             pages += [page_ids[page_of[t]]] * len(found)
-    if len(page_ids) < min_pages or not tokens:
-        return [[] for _ in texts]
     covered = repeated(np.array(tokens), np.array(pages), span, min_pages)
     return [[] if x is None else list(_covered(own, covered)) for x, own in zip(texts, lines)] if covered.any() else [[] for _ in texts]
 
@@ -361,6 +361,8 @@ def clean_reports(df: DataFrame, span: int = 12, min_pages: int = 3) -> DataFram
     pages = rows.groupBy(*page).agg(F.any_value("text").alias("text"))
 
     def per_report(table: pa.Table) -> pa.Table:
+        if table.num_rows < min_pages:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.string()), "_hash": pa.array([], pa.int64()), "drop": pa.array([], pa.list_(pa.int32()))})
         table = table.sort_by([("chunk_id", "ascending"), ("_hash", "ascending")])
         drops = boilerplate_lines(table.column("text").to_pylist(), table.column("chunk_id").to_pylist(), span, min_pages)
         table = table.drop_columns("text").append_column("drop", pa.array(drops, pa.list_(pa.int32())))
