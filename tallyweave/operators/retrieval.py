@@ -7,10 +7,10 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACES, either_of, match_form
+from ..functions.text import SPACES
 
 try:
     import ahocorasick
@@ -20,31 +20,24 @@ except ImportError:  # terms are then looked for one by one
 # Weights and the words whose presence tells a table.
 WEIGHTS = {"alias": 4.0, "section_base": 3.0, "text_base": 2.0, "step": 1.0, "company": 10.0, "table": 1.0}
 TABLE_SIGNALS = ("单位：", "项目", "本期", "上期", "同比", "%", "Unit", "Item", "Current", "Prior", "YoY")
-#: Private characters between the terms and the alternatives of prepared rules; they survive the match form.
-_NEXT, _OR = "\ue000", "\ue001"
 _SPACES = re.compile(f"[{re.escape(SPACES)}]+")
 
 
-def prepared_rules(rules: DataFrame) -> DataFrame:
-    """Rules with their terms in match form: arrays of arrays of alternatives.
-
-    The terms are joined to one string so that the Arrow function runs once a
-    rule and array, not once a term.
-    """
+#: Bytes of terms that one pass over the chunks takes to the workers.
+BLOCK_BYTES = 4_000_000
+_ALIAS, _SECTION, _COMPANY = range(3)
 
-    def groups(name: str) -> Column:
-        given = F.coalesce(F.col(name), F.array().cast("array<string>"))
-        terms = F.transform(given, lambda t: F.array_join(either_of(F.coalesce(t, F.lit(""))), _OR))
-        formed = match_form(F.array_join(terms, _NEXT))
-        split = F.transform(F.split(formed, _NEXT), lambda g: F.filter(F.split(g, _OR), lambda x: x != ""))
-        return F.when(F.size(given) == 0, F.array().cast("array<array<string>>")).otherwise(split)
 
-    return rules.withColumns({"_aliases": groups("aliases"), "_sections": groups("section_hint"), "_companies": groups("company_hints")})
+def _formed(text: str | None) -> str:
+    """``match_form`` of a text in a worker."""
+    return _SPACES.sub("", (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()) if text else ""
 
 
-#: Bytes of terms that one pass over the chunks takes to the workers.
-BLOCK_BYTES = 4_000_000
-_ALIAS, _SECTION, _COMPANY = range(3)
+def alternatives(term: str | None) -> set[str]:
+    """Match forms of a term's alternatives: its parts between slashes, or itself if there are none; a blank term has none."""
+    whole = (term or "").strip(SPACES)
+    parts = [p for p in (p.strip(SPACES) for p in whole.split("/")) if p]
+    return {_formed(p) for p in parts or [whole]} - {""}
 
 
 class Terms:
@@ -59,15 +52,15 @@ class Terms:
         self.worth: list[tuple[float, float]] = []  # of a group found in the text, in the section
         for r, (_, _, *lists) in enumerate(rules):
             for kind, listed in zip((_ALIAS, _SECTION, _COMPANY), lists):
-                for place, alternatives in enumerate(listed):
+                for place, term in enumerate(listed or ()):
                     if kind == _ALIAS:
                         worth = weights["alias"], 0.0
                     elif kind == _COMPANY:
                         worth = weights["company"], weights["company"]
                     else:  # hints weigh more the later they stand, empty ones counted
                         worth = weights["text_base"] + place * weights["step"], weights["section_base"] + place * weights["step"]
-                    for term in set(alternatives):
-                        groups.setdefault(term, []).append(len(self.owner))
+                    for form in alternatives(term):
+                        groups.setdefault(form, []).append(len(self.owner))
                     self.owner.append(r)
                     self.worth.append(worth)
         self.groups = groups
@@ -97,17 +90,12 @@ class Terms:
         return ((key, total) for key, wants, total in zip(self.keys, self.parents, sums) if total > 0 and wants == parent)
 
 
-def _formed(text: str | None) -> str:
-    """``match_form`` of a text in a worker."""
-    return _SPACES.sub("", (text if not text or text.isascii() else unicodedata.normalize("NFKC", text)).lower()) if text else ""
-
-
 def _scored_block(chunks: DataFrame, rules: list, on: tuple[str, ...], weights: dict[str, float], schema: str) -> DataFrame:
     by_key: dict[tuple, list[tuple]] = {}
     for r in rules:
         key = tuple(r[c] for c in on)
         if None not in key:
-            by_key.setdefault(key, []).append((r["rule_key"], r["_parent"], r["_aliases"], r["_sections"], r["_companies"]))
+            by_key.setdefault(key, []).append((r["rule_key"], r["_parent"], r["aliases"], r["section_hint"], r["company_hints"]))
 
     key_type = {"bigint": pa.int64(), "int": pa.int32()}.get(schema.rpartition("rule_key ")[2].split(",")[0], pa.string())
 
@@ -146,9 +134,9 @@ def scored(chunks: DataFrame, rules: DataFrame, on: tuple[str, ...] = ("profile"
     against all chunks. Text stays where it is scanned.
     """
     weights = WEIGHTS | weights
-    terms = ("_aliases", "_sections", "_companies")
-    right = prepared_rules(rules).select(*on, "rule_key", F.coalesce("allow_parent_note", F.lit(False)).alias("_parent"), *terms)
-    size = sum((F.octet_length(F.array_join(F.flatten(c), "")) + 16 * F.size(c) for c in terms), F.lit(64))
+    terms = ("aliases", "section_hint", "company_hints")
+    right = rules.select(*on, "rule_key", F.coalesce("allow_parent_note", F.lit(False)).alias("_parent"), *terms)
+    size = sum((F.coalesce(F.octet_length(F.array_join(c, "")) + 16 * F.size(c), F.lit(0)) for c in terms), F.lit(64))
     total = right.select(F.sum(size)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     mark = F.coalesce("is_parent_note_block", F.lit(False)) if "is_parent_note_block" in chunks.columns else F.lit(False)
